@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.frequency import marked_terms
 from tilewright.llm.leaks import leaked_items
+from tilewright.llm.mojibake import garbled_documents, restored_documents
 from tilewright.llm.tokenize import encode_texts
 from tilewright.operators.current import current_rows
 
@@ -46,7 +47,17 @@ def p9_edited(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).where("score >= 26").select("doc_id", "item_id", "score", "run")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p8_ids, p9_found, p9_edited)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with text that was decoded wrongly."""
+    return garbled_documents(_table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents with their restored text."""
+    return restored_documents(_table(spark, folder, "documents")).select("doc_id", "restored")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_counts, p8_ids, p9_found, p9_edited, p10_found, p10_restored)}
 
 _PAIRS = """
 WITH cur AS (
