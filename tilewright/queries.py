@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.oracle import SQL  # noqa: F401
+from tilewright import element_oracle, element_queries, oracle
 from tilewright.operators.current import current_rows, is_live
 from tilewright.operators.hierarchy import hierarchy
 from tilewright.operators.history import version_history
@@ -97,4 +97,5 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return final_state(changes, table(spark, folder, "osm_nodes")).select("id", "version")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_ranges, p5_found, p5_report, p6_found, p6_totals, p7_found)}
+QUERIES = element_queries.QUERIES | {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_ranges, p5_found, p5_report, p6_found, p6_totals, p7_found)}
+SQL: dict[str, str] = element_oracle.SQL | oracle.SQL
