@@ -178,7 +178,7 @@ def within_distance(
     left out. An id must have one position; if it has several, the greatest (lon, lat) counts. Further columns are
     ignored; an empty table gives an empty result.
 
-    ``sample_size`` bounds the points that the driver sees to lay out the leaves; the layout only decides where
+    ``sample_size`` is the expected number of points that the driver sees to lay out the leaves; the layout only decides where
     work is done. Leaves that stay too full are divided by id into blocks, each pair of blocks being one task.
     """
     spark = points.sparkSession
@@ -187,8 +187,8 @@ def within_distance(
     good = good.groupBy("id").agg(F.max(F.struct("lon", "lat")).alias("at")).select("id", "at.lon", "at.lat")
     good = cut(good, "points")
     total = good.count()
-    # The rows with the smallest hashes are a uniform sample of bounded size.
-    sample = good.select("lon", "lat", F.xxhash64("id").alias("h")).orderBy("h").limit(sample_size).toPandas()
+    # Rows whose hash lies below a threshold are a uniform sample of the given expected size.
+    sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, sample_size / max(1, total)) * (1 << 40))).select("lon", "lat").toPandas()
     index = LeafIndex(sample["lon"].to_numpy(float), sample["lat"].to_numpy(float), total, capacity, math.degrees(reach_rad))
     chord = 2.0 * math.sin(min(reach_rad, math.pi) / 2.0)
     layout = pa.schema([("task", pa.int64()), ("role", pa.int8()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def heavy_keys(df: DataFrame, key: str, *, sample_size: int = 50_000, share: float = 0.005) -> list:
-    """Keys with at least ``share`` of a bounded uniform sample of the rows: at most 1/share keys.
+    """Keys with at least ``share`` of a uniform sample of ``sample_size`` expected rows: about 1/share keys at most.
 
-    The sample is that of the smallest row hashes. It only decides which keys get salted, never a result.
+    The sample is that of row hashes below a threshold. It only decides which keys get salted, never a result.
     """
-    rows = df.select(F.col(key).alias("k"), F.xxhash64(key, F.monotonically_increasing_id()).alias("h")).orderBy("h").limit(sample_size)
-    counts = rows.groupBy("k").count().where(F.col("k").isNotNull())
-    least = max(2.0, share * min(sample_size, rows.count()))
-    return [r["k"] for r in counts.where(F.col("count") >= least).collect()]
+    rows = df.count()
+    part = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(1 << 40)) < int(min(1.0, sample_size / max(1, rows)) * (1 << 40))
+    counts = df.where(part).groupBy(F.col(key).alias("k")).count()
+    least = max(2.0, share * min(sample_size, rows))
+    return [r["k"] for r in counts.where((F.col("count") >= least) & F.col("k").isNotNull()).collect()]
 
 
 def salted_totals(df: DataFrame, key: str, value: str, *, salts: int = 32, heavy: list | None = None) -> DataFrame:
