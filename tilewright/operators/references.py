@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.plans.lineage import cut
+
 #: Keys are handled in ranges of 2**CHUNK_BITS, so no window group holds more keys.
 CHUNK_BITS = 16
 
@@ -41,7 +43,8 @@ def orphan_references(refs: DataFrame, live: DataFrame, known: DataFrame, arrivi
     copied ones come out once; extra columns are ignored.
     """
     refs = refs.select("src_type", "src_id", "ref_type", "ref_id").dropna()
-    orphans = keys_outside_runs(refs.select(F.col("ref_type").alias("kind"), F.col("ref_id").alias("id")), key_runs(live))
+    # read three times below
+    orphans = cut(keys_outside_runs(refs.select(F.col("ref_type").alias("kind"), F.col("ref_id").alias("id")), key_runs(live)), "orphans")
     marks = known.select("kind", "id", F.lit(1).alias("rank")).unionByName(arriving.select("kind", "id", F.lit(2).alias("rank")))
     marks = marks.join(orphans, ["kind", "id"], "left_semi")
     ranked = orphans.select("kind", "id", F.lit(0).alias("rank")).unionByName(marks).groupBy("kind", "id").agg(F.max("rank").alias("rank"))
