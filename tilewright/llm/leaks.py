@@ -47,7 +47,7 @@ class ItemBlock:
         self.code: dict[str, int] = {}
         self.items = [(i, np.array([self.code.setdefault(w, len(self.code)) for w in words_of(text)], np.int64)) for i, text in items]
         at = [_seed_keys(words) for _, words in self.items]
-        self.keys = np.unique(np.concatenate([*at, np.empty(0, np.int64)]))
+        self.keys = np.unique(np.concatenate([*at, np.empty(0, np.int64)]))  # items' words all have codes
         self._at = at
 
     def choose(self, counts: np.ndarray) -> None:
@@ -57,16 +57,22 @@ class ItemBlock:
             n = counts[np.searchsorted(self.keys, keys)]
             width = min(WINDOW - SEED + 1, len(keys))
             for lo in range(len(keys) - width + 1 if width else 0):
-                best = lo + int(np.argmin(n[lo : lo + width]))
+                best = lo + width - 1 - int(np.argmin(n[lo : lo + width][::-1]))  # the last of equals serves more windows
                 pairs.add((int(keys[best]), nth))
         ordered = sorted(pairs)
         self.seed_keys = np.array([k for k, _ in ordered], np.int64)
         self.seed_items = np.array([nth for _, nth in ordered], np.int64)
         self._at = []
 
-    def codes(self, text: str | None) -> np.ndarray:
-        code = self.code
-        return np.array([code.get(w, -1) for w in words_of(text)], np.int64)
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the words of all texts, each text followed by SEED words without a code; where each text starts."""
+        code, flat, starts = self.code, [], []
+        gap = [-1] * SEED
+        for text in texts:
+            starts.append(len(flat))
+            flat += [code.get(w, -1) for w in words_of(text.as_py())]
+            flat += gap
+        return np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -85,52 +91,62 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, longest
 
 
+#: Documents whose words are handled as one array.
+SOME = 256
+
+
 def _count_keys(block: ItemBlock):
     keys = block.keys
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(keys), np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                found = np.unique(_seed_keys(block.codes(text.as_py())))
-                if len(found) and len(keys):
-                    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                    seen[at[keys[at] == found]] += 1
+            for lo in range(0, batch.num_rows if len(keys) else 0, SOME):
+                codes, starts = block.codes(batch.column("text").slice(lo, SOME))
+                found = _seed_keys(codes)
+                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                places = np.flatnonzero(keys[at] == found)
+                docs = np.searchsorted(starts, places, side="right") - 1
+                once = np.unique(docs * len(keys) + at[places]) % len(keys)
+                seen += np.bincount(once, minlength=len(keys))
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["nth", "n"])
 
     return count
 
 
+def _spans(places: list[int], width: int) -> list[tuple[int, int]]:
+    """Stretches around seeds: a passage that holds a seed lies within the item's length of it."""
+    out: list[tuple[int, int]] = []
+    for at in places:
+        lo, hi = max(0, at - width), at + SEED + width
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _find(block: ItemBlock):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, owners, items = block.seed_keys, block.seed_items, block.items
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                codes = block.codes(text.as_py())
+            for lo in range(0, batch.num_rows if len(seeds) else 0, SOME):
+                doc_ids = batch.column("doc_id").slice(lo, SOME).to_pylist()
+                codes, starts = block.codes(batch.column("text").slice(lo, SOME))
                 keys = _seed_keys(codes)
-                lo, hi = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
-                hits: dict[int, list[int]] = {}
-                for at in np.flatnonzero(hi > lo):
-                    for nth in owners[lo[at] : hi[at]].tolist():
-                        hits.setdefault(nth, []).append(int(at))
-                for nth, places in hits.items():
+                first, last = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
+                hits: dict[tuple[int, int], list[int]] = {}
+                for at in np.flatnonzero(last > first).tolist():
+                    doc = int(np.searchsorted(starts, at, side="right")) - 1
+                    for nth in owners[first[at] : last[at]].tolist():
+                        hits.setdefault((doc, nth), []).append(at - int(starts[doc]))
+                for (doc, nth), places in hits.items():
                     item_id, item = items[nth]
-                    best = longest = 0
-                    # A passage that holds the seed lies within the item's length of it.
-                    start = stop = -1
-                    spans = []
-                    for at in places:
-                        if start < 0 or at - len(item) > stop:
-                            if start >= 0:
-                                spans.append((start, stop))
-                            start = max(0, at - len(item))
-                        stop = at + SEED + len(item)
-                    for start, stop in [*spans, (start, stop)]:
-                        score, run = align(codes[start:stop], item)
-                        best, longest = max(best, score), max(longest, run)
-                    out.append((doc_id, item_id, best, longest, len(item)))
+                    words = codes[starts[doc] : starts[doc + 1] - SEED]
+                    each = [align(words[a:b], item) for a, b in _spans(places, len(item))]
+                    out.append((doc_ids[doc], item_id, max(s for s, _ in each), max(r for _, r in each), len(item)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "score", "run", "item_words"])
 
