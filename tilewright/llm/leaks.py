@@ -56,9 +56,12 @@ class ItemBlock:
         for nth, keys in enumerate(self._at):
             n = counts[np.searchsorted(self.keys, keys)]
             width = min(WINDOW - SEED + 1, len(keys))
+            best = -1
             for lo in range(len(keys) - width + 1 if width else 0):
-                best = lo + width - 1 - int(np.argmin(n[lo : lo + width][::-1]))  # the last of equals serves more windows
-                pairs.add((int(keys[best]), nth))
+                least = lo + width - 1 - int(np.argmin(n[lo : lo + width][::-1]))
+                if best < lo or n[least] < n[best]:  # of equals one serves as many windows as it can
+                    best = least
+                    pairs.add((int(keys[best]), nth))
         ordered = sorted(pairs)
         self.seed_keys = np.array([k for k, _ in ordered], np.int64)
         self.seed_items = np.array([nth for _, nth in ordered], np.int64)
