@@ -246,3 +246,4 @@ SQL: dict[str, str] = {
         WHEN a.tags IS DISTINCT FROM b.tags THEN 'tags' ELSE 'same' END AS reason FROM base a FULL JOIN after b ON a.type = b.type AND a.id = b.id) GROUP BY ALL""",
     "renamed_users": f"SELECT a.info.user_id AS user_id, a.info.user AS left_user, b.info.user AS right_user, count(*) AS n FROM {_elements('info')} a JOIN {_NEWEST} b ON a.type = b.type AND a.id = b.id AND a.info.user_id = b.info.user_id WHERE a.info.user IS DISTINCT FROM b.info.user GROUP BY ALL",
 }
+SQL["stream_update"] = SQL["dedupe_version"]

@@ -12,6 +12,7 @@ from tilewright.functions.style import DROP_KEYS, FEATURE_KEYS, MIN_ZOOM, PARENT
 from tilewright.operators import diff, extract, geometry, keys, overlay, stats, tiling
 from tilewright.operators.current import current_rows
 from tilewright.operators.multipolygon import build_multipolygons
+from tilewright.streaming.updates import keep_newest
 
 #: Area of the extract queries, degrees x 1e7, and a ring inside it.
 BOX = (115_000_000, 431_000_000, 121_000_000, 435_000_000)
@@ -353,6 +354,12 @@ def geojson(spark: Spark, folder: str) -> DataFrame:
     return geometry.as_geojson(_shapes(spark, folder))
 
 
+def stream_update(spark: Spark, folder: str) -> DataFrame:
+    """Newest change of each element, from the change files as a stream."""
+    schema = table(spark, folder, "osm_changes").schema
+    return keep_newest(spark, f"{folder}/osm_changes.parque[t]", schema, ["type", "id", "info", "file_idx", "changetype"]).select("type", "id", F.col("info.version").alias("version"), "file_idx", "changetype")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -360,6 +367,6 @@ QUERIES = {
         qt_histogram, qt_rollup, qt_fold_small, group_tiles, tiles_of_box, way_bbox, way_quadtree, node_quadtree, relation_quadtree, assign_tile, cluster_counts, block_8000, split_id_key,
         filter_tags, polygon_tags, zorder, minzoom_tag, tags_json, tags_hstore, tags_fixed, parent_tags, relation_tags, mercator_forward, line_lengths, ring_areas, bbox_extract, poly_extract,
         filter_members, idset_invert, dedupe_version, overlay_merge, overlay_apply, snapshot_asof, apply_change, original_rows, index_lookup, change_tiles, change_keys, dataset_diff,
-        renamed_users, geometries, geometries_to_zoom, multipolygons, geometry_wkb, geojson,
+        renamed_users, geometries, geometries_to_zoom, multipolygons, geometry_wkb, geojson, stream_update,
     )
 }
