@@ -21,16 +21,18 @@ def newest_changes(changes: DataFrame) -> DataFrame:
     return changes.where("type is not null and id is not null").groupBy("type", "id").agg(F.max_by(F.struct(*changes.columns), rank).alias("r")).select("r.*")
 
 
-def overlay(base: DataFrame, deltas: DataFrame, *, apply: bool = True) -> DataFrame:
+def overlay(base: DataFrame, deltas: DataFrame, *, apply: bool = True, root: bool = False) -> DataFrame:
     """Base rows with the deltas of their tiles laid over: per (tile_qt, type, id) the row of the highest ``file_idx`` wins.
 
     Both: ``tile_qt, type, id, changetype`` and equal further columns; ``deltas`` also ``file_idx``. Tiles that the base
-    lacks are not read. With ``apply``, in tiles that have a delta, deleted and removed rows go and the others become
+    lacks are not read, but for tile 0 with ``root``: elements go there that fit no other tile. With ``apply``, in tiles that have a delta, deleted and removed rows go and the others become
     Normal; tiles without one stay as they are. Of rows equal in file the greatest change type wins, then the greatest
     row.
     """
     columns = [c for c in base.columns if c in deltas.columns]
     tiles = base.select("tile_qt").distinct()
+    if root:
+        tiles = tiles.union(base.sparkSession.range(1))
     later = deltas.select(*columns, "file_idx").join(tiles, "tile_qt", "left_semi")
     touched = later.select("tile_qt").distinct().withColumn("touched", F.lit(True))
     rows = base.select(*columns, F.lit(-1).alias("file_idx")).unionByName(later)

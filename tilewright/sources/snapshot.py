@@ -73,8 +73,8 @@ def read_snapshot(spark: SparkSession, root: str, *, box: tuple[int, int, int, i
         if not tiles:
             raise ValueError("no tiles match the box")
         base = base.where(F.col("tile_qt").isin(tiles))
-        deltas = deltas and deltas.where(F.col("tile_qt").isin(tiles))
-    return base if deltas is None else overlay.overlay(base, deltas)
+        deltas = deltas and deltas.where(F.col("tile_qt").isin(0, *tiles))
+    return base if deltas is None else overlay.overlay(base, deltas, root=True)
 
 
 def update_snapshot(changes: DataFrame, root: str, end_date: int, state: int | None = None) -> dict:
