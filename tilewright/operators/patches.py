@@ -38,7 +38,8 @@ def final_state(changes: DataFrame, base: DataFrame, payload: list[str] = ()) ->
     payload = list(payload)
     patches = composed_patches(changes, payload)
     ground = F.struct(F.col("info.version").alias("version"), F.coalesce(~F.col("changetype").isin(1, 2), F.lit(True)).alias("live"), *[F.col(c).alias(f"_p{i}") for i, c in enumerate(payload)])
-    stood = base.where("id is not null").groupBy("id").agg(F.max(ground).alias("ground"))
+    # only rows of changed ids are folded; the id's partitioning serves both joins
+    stood = base.join(patches.select("id"), "id", "left_semi").groupBy("id").agg(F.max(ground).alias("ground"))
     both = patches.join(stood, "id", "left")
     lowest = F.lit(-(2**63)).cast("bigint")
     changed = F.col("ground").isNull() | (F.coalesce("patch.version", lowest) >= F.coalesce("ground.version", lowest))
