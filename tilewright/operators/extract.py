@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tilewright.functions.geo import in_box, in_polygon
 from tilewright.operators.keys import way_nodes
 from tilewright.plans.lineage import cut
 
+#: Steps from relation to relation that are made before what was found is written.
+HOPS = 4
+
 
 def in_range(id_: Column, least: int, below: int) -> Column:
     """Half-open range of ids; without an upper end if ``below`` isn't positive."""
@@ -54,7 +59,10 @@ def area_ids(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: tuple
     nested = members.where("kind = 2").select("id", "ref")
     fresh = found
     for _ in range(rounds):
-        fresh = cut(nested.join(fresh.withColumnRenamed("id", "ref"), "ref", "left_semi").select("id").distinct().join(found, "id", "left_anti"), "relations")
+        steps = [fresh]
+        for _ in range(HOPS):
+            steps.append(nested.join(steps[-1].withColumnRenamed("id", "ref"), "ref", "left_semi").select("id"))
+        fresh = cut(reduce(DataFrame.union, steps[1:]).distinct().join(found, "id", "left_anti"), "relations")
         if not fresh.limit(1).count():
             break
         found = found.union(fresh)

@@ -46,9 +46,12 @@ def relation_keys(relations: DataFrame, keyed_nodes: DataFrame, keyed_ways: Data
     state = cut(relations.select("id").join(direct, "id", "left").select("id", F.coalesce("quadtree", F.lit(-1)).alias("quadtree")), "keys")
     nested = cut(members.where("kind = 2").select("id", "ref"), "nested")
     for _ in range(rounds):
-        passed = nested.join(state.select(F.col("id").alias("ref"), "quadtree"), "ref").groupBy("id").agg(common_of("quadtree").alias("passed"))
-        step = state.join(passed, "id", "left").withColumn("now", common("quadtree", F.coalesce("passed", F.lit(-1))))
-        step = cut(step.select("id", F.col("now").alias("quadtree"), (F.col("now") != F.col("quadtree")).alias("changed")), "keys")
+        step = state
+        for _ in range(2):  # two steps a round: each reads the one before twice
+            passed = nested.join(step.select(F.col("id").alias("ref"), "quadtree"), "ref").groupBy("id").agg(common_of("quadtree").alias("passed"))
+            step = step.join(passed, "id", "left").select("id", common("quadtree", F.coalesce("passed", F.lit(-1))).alias("quadtree"))
+        step = step.join(state.withColumnRenamed("quadtree", "before"), "id")
+        step = cut(step.select("id", "quadtree", (F.col("quadtree") != F.col("before")).alias("changed")), "keys")
         state = step.select("id", "quadtree")
         if not step.where("changed").limit(1).count():
             break
