@@ -78,24 +78,42 @@ class ItemBlock:
         return np.array(flat, np.int64), np.array([*starts, len(flat)], np.int64)
 
 
-def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
-    """(Smith-Waterman score, longest run of equal consecutive words) of two word sequences."""
-    score, run = np.zeros(len(item) + 1, np.int64), np.zeros(len(item) + 1, np.int64)
-    ramp = -GAP * np.arange(len(item) + 1)
-    best = longest = 0
-    for word in passage:
-        equal = item == word
-        row = np.zeros(len(item) + 1, np.int64)
-        row[1:] = np.maximum(score[:-1] + np.where(equal, MATCH, MISMATCH), score[1:] + GAP)
+def align_all(passages: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Smith-Waterman score, and longest run of equal consecutive words, of each passage and the item beside it.
+
+    All pairs advance by one word of their passages at a time; shorter ones are filled up with words that equal nothing.
+    """
+    height, width = max(map(len, passages), default=0), max(map(len, items), default=0)
+    rows, columns = np.full((height, len(items)), -2, np.int64), np.full((len(items), width), -3, np.int64)
+    for k, (passage, item) in enumerate(zip(passages, items)):
+        rows[: len(passage), k] = passage
+        columns[k, : len(item)] = item
+    score, run = np.zeros((len(items), width + 1), np.int32), np.zeros((len(items), width + 1), np.int32)
+    best, longest = np.zeros_like(score), np.zeros_like(run)
+    ramp = (-GAP * np.arange(width + 1)).astype(np.int32)
+    for words in rows:
+        equal = columns == words[:, None]
+        row = score + np.int32(GAP)
+        np.maximum(row[:, 1:], score[:, :-1] + np.where(equal, np.int32(MATCH), np.int32(MISMATCH)), out=row[:, 1:])
         np.maximum(row, 0, out=row)
-        score = np.maximum.accumulate(row + ramp) - ramp
-        run[1:] = np.where(equal, run[:-1] + 1, 0)
-        best, longest = max(best, int(score.max())), max(longest, int(run.max()))
-    return best, longest
+        row += ramp
+        score = np.maximum.accumulate(row, axis=1) - ramp
+        run[:, 1:] = (run[:, :-1] + 1) * equal
+        np.maximum(best, score, out=best)
+        np.maximum(longest, run, out=longest)
+    return best.max(axis=1, initial=0), longest.max(axis=1, initial=0)
+
+
+def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """(score, longest run) of one pair."""
+    score, run = align_all([passage], [item])
+    return int(score[0]), int(run[0])
 
 
 #: Documents whose words are handled as one array.
 SOME = 256
+#: Passages that are aligned together, and the words that they may have when filled up to one length.
+TOGETHER, CELLS = 64, 1_000_000
 
 
 def _count_keys(block: ItemBlock):
@@ -130,11 +148,28 @@ def _spans(places: list[int], width: int) -> list[tuple[int, int]]:
     return out
 
 
+def _aligned(jobs: list[tuple], items: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each document and item: the best of its passages. Passages of like length are aligned together."""
+    best: dict[tuple, tuple[int, int]] = {}
+    order = sorted(range(len(jobs)), key=lambda k: len(jobs[k][1]))
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < min(len(order), lo + TOGETHER) and (hi + 1 - lo) * len(jobs[order[hi]][1]) <= CELLS:
+            hi += 1
+        some, lo = [jobs[k] for k in order[lo:hi]], hi
+        for (pair, _), score, run in zip(some, *align_all([p for _, p in some], [items[pair[2]][1] for pair, _ in some])):
+            old = best.get(pair, (0, 0))
+            best[pair] = (max(old[0], int(score)), max(old[1], int(run)))
+    out = [(doc_id, items[nth][0], score, run, len(items[nth][1])) for (_, doc_id, nth), (score, run) in sorted(best.items(), key=lambda x: (x[0][0], x[0][2]))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "score", "run", "item_words"])
+
+
 def _find(block: ItemBlock):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, owners, items = block.seed_keys, block.seed_items, block.items
         for batch in batches:
-            out: list[tuple] = []
+            jobs: list[tuple] = []  # doc_id, item, passage; those of a pair stand together
             for lo in range(0, batch.num_rows if len(seeds) else 0, SOME):
                 doc_ids = batch.column("doc_id").slice(lo, SOME).to_pylist()
                 codes, starts = block.codes(batch.column("text").slice(lo, SOME))
@@ -146,12 +181,10 @@ def _find(block: ItemBlock):
                     for nth in owners[first[at] : last[at]].tolist():
                         hits.setdefault((doc, nth), []).append(at - int(starts[doc]))
                 for (doc, nth), places in hits.items():
-                    item_id, item = items[nth]
                     words = codes[starts[doc] : starts[doc + 1] - SEED]
-                    each = [align(words[a:b], item) for a, b in _spans(places, len(item))]
-                    out.append((doc_ids[doc], item_id, max(s for s, _ in each), max(r for _, r in each), len(item)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "score", "run", "item_words"])
+                    jobs.extend(((lo + doc, doc_ids[doc], nth), words[a:b]) for a, b in _spans(places, len(items[nth][1])))
+            if jobs:
+                yield _aligned(jobs, items)
 
     return find
 
