@@ -168,7 +168,7 @@ def within_distance(
     distance_m: float,
     *,
     radius_m: float = EARTH_RADIUS_M,
-    sample_size: int = 65_536,
+    sample_size: int = 2_000_000,
     capacity: int = 16_384,
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of all pairs of points at most ``distance_m`` apart on the sphere.
@@ -178,7 +178,8 @@ def within_distance(
     left out. An id must have one position; if it has several, the greatest (lon, lat) counts. Further columns are
     ignored; an empty table gives an empty result.
 
-    ``sample_size`` is the expected number of points that the driver sees to lay out the leaves; the layout only decides where
+    The driver lays out the leaves by a sample of about 8 points for ``capacity`` points, 65 536 at least and ``sample_size``
+    at most (expected numbers); the layout only decides where
     work is done. Leaves that stay too full are divided by id into blocks, each pair of blocks being one task.
     """
     spark = points.sparkSession
@@ -188,8 +189,9 @@ def within_distance(
     good = cut(good, "points")
     total = good.count()
     # Rows whose hash lies below a threshold are a uniform sample of the given expected size.
-    sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, sample_size / max(1, total)) * (1 << 40))).select("lon", "lat").toPandas()
-    index = LeafIndex(sample["lon"].to_numpy(float), sample["lat"].to_numpy(float), total, capacity, math.degrees(reach_rad))
+    wanted = min(sample_size, max(65_536, 8 * total // capacity))
+    sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, wanted / max(1, total)) * (1 << 40))).select("lon", "lat").toArrow()
+    index = LeafIndex(sample["lon"].to_numpy(), sample["lat"].to_numpy(), total, capacity, math.degrees(reach_rad))
     chord = 2.0 * math.sin(min(reach_rad, math.pi) / 2.0)
     layout = pa.schema([("task", pa.int64()), ("role", pa.int8()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])
 
@@ -246,7 +248,9 @@ def within_distance(
         if held:
             yield from pairs_of(*(np.concatenate(x) for x in zip(*held)))
 
-    placed = good.repartition(task_count(spark, total, 250_000), "id") if total > 100_000 else good
+    # a table of few files is spread over the cores; a large one has splits enough
+    spread = 100_000 < total < 5_000_000 * spark.sparkContext.defaultParallelism
+    placed = good.repartition(task_count(spark, total, 250_000), "id") if spread else good
     placed = placed.mapInArrow(place, "task bigint, role tinyint, id bigint, lon double, lat double")
     grouped = placed.repartition(task_count(spark, total, 150_000), "task").sortWithinPartitions("task")
     return grouped.mapInArrow(join, "id_a bigint, id_b bigint")
