@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tilewright.operators import proximity as module
 from tilewright.operators.proximity import EARTH_RADIUS_M, PackedRTree, within_distance
 
 SCHEMA = "id bigint, lon double, lat double, task string, role string"
@@ -51,9 +52,13 @@ def test_empty_table(spark):
     assert found(spark, [], 5.0) == set()
 
 
-def test_tree_finds_what_a_scan_finds():
+@pytest.mark.parametrize("frontier", [131_072, 7])
+def test_tree_finds_what_a_scan_finds(monkeypatch, frontier):
+    monkeypatch.setattr(module, "FRONTIER", frontier)
     rng = np.random.default_rng(3)
     points, queries = rng.random((500, 3)), rng.random((50, 3))
-    q, n = PackedRTree(points).hits(queries, 0.1)
+    parts = list(PackedRTree(points).hits(queries, 0.1))
+    q, n = (np.concatenate(x) for x in zip(*parts))
+    assert len(set(zip(q.tolist(), n.tolist()))) == len(q)
     gap = ((queries[:, None] - points[None]) ** 2).sum(-1)
     assert set(zip(q.tolist(), n.tolist())) == set(map(tuple, np.argwhere(gap <= 0.01).tolist()))

@@ -21,6 +21,7 @@ from tilewright.plans.lineage import cut, task_count
 EARTH_RADIUS_M = 6_371_008.8
 GRID_BITS = 30
 FANOUT = 16
+FRONTIER = 131_072
 PROBE, BUILD = 1, 2
 
 
@@ -136,12 +137,20 @@ class PackedRTree:
             low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
             self.levels.append((low, high))
 
-    def hits(self, queries: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) index pairs with a distance of at most ``reach``."""
-        low, high = self.levels[-1]
-        q = np.repeat(np.arange(len(queries)), len(low))
-        n = np.tile(np.arange(len(low)), len(queries))
-        for level in range(len(self.levels) - 1, -1, -1):
+    def hits(self, queries: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, point) index pairs with a distance of at most ``reach``, in parts.
+
+        All queries go down the tree together, depth first in parts of FRONTIER nodes, so memory stays bounded
+        however many points a query hits.
+        """
+        top = len(self.levels) - 1
+        width = len(self.levels[top][0])
+        stack = [(top, np.repeat(np.arange(len(queries)), width), np.tile(np.arange(width), len(queries)))]
+        while stack:
+            level, q, n = stack.pop()
+            if len(q) > FRONTIER:
+                stack.append((level, q[FRONTIER:], n[FRONTIER:]))
+                q, n = q[:FRONTIER], n[:FRONTIER]
             low, high = self.levels[level]
             keep = np.ones(len(q), bool)
             for axis in range(queries.shape[1]):
@@ -153,9 +162,14 @@ class PackedRTree:
             q = np.repeat(q, FANOUT)
             keep = n < below
             q, n = q[keep], n[keep]
-        gap = queries[q] - self.points[n]
-        keep = np.einsum("ij,ij->i", gap, gap) <= reach * reach
-        return q[keep], n[keep]
+            if not len(q):
+                continue
+            if level:
+                stack.append((level - 1, q, n))
+                continue
+            gap = queries[q] - self.points[n]
+            keep = np.einsum("ij,ij->i", gap, gap) <= reach * reach
+            yield q[keep], n[keep]
 
 
 def _unit_vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
@@ -225,11 +239,11 @@ def within_distance(
         tree = PackedRTree(at[build])
         for lo in range(0, len(probe), 4096):
             some = probe[lo : lo + 4096]
-            q, n = tree.hits(at[some], chord)
-            a, b = ids[some[q]], ids[build[n]]
-            first = a < b
-            if first.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["id_a", "id_b"])
+            for q, n in tree.hits(at[some], chord):
+                a, b = ids[some[q]], ids[build[n]]
+                first = a < b
+                if first.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first])], names=["id_a", "id_b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
