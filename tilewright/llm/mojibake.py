@@ -224,9 +224,11 @@ def garbled_documents(documents: DataFrame, *, least_ratio: int = LEAST_RATIO) -
     under all chains of encodings are a table; documents' tokens are joined to it by hash. A word is the original of a
     form only if it is in ``least_ratio`` times as many documents, which keeps foreign words that are meant. Garbled
     UTF-8 is matched by character, as it can be told by itself. Forms of one-byte encodings count as proof only
-    together: two of at least two foreign characters under one chain, or one of three.
+    together: two words of two foreign characters, or of one among three characters, under one chain, or one word of three.
     """
-    strength = F.when((F.col("kind") == "p") | F.col("form").contains(LOST), 9).otherwise(F.least(F.lit(3), F.length(F.regexp_replace("form", r"[\x00-\x7f]", ""))) - F.lit(1))
+    foreign = F.length(F.regexp_replace("form", r"[\x00-\x7f]", ""))
+    alone = F.when(foreign >= 3, 2).when((foreign == 2) | (F.length("form") >= 3), 1).otherwise(0)
+    strength = F.when((F.col("kind") == "p") | F.col("form").contains(LOST), 9).otherwise(alone)
     found = _evidence(documents, least_ratio).withColumn("strength", strength)
     by_chain = found.groupBy("doc_id", "chain").agg(F.collect_set(F.struct("form", "original", "kind", "strength")).alias("pairs"))
     proven = by_chain.where(F.aggregate("pairs", F.lit(0), lambda n, p: n + p["strength"]) >= 2)
