@@ -68,7 +68,16 @@ flat AS (SELECT kind, id, unnest(tags) AS t FROM cur),
 counts AS (SELECT t.key AS tag_key, t.val AS tag_val, count(*) AS occurrences, count(DISTINCT (kind, id)) AS elements FROM flat WHERE t.key IS NOT NULL AND t.val IS NOT NULL GROUP BY ALL)
 """
 
+_NOISE = r"</?\p{L}[^<>]*>|\[/?\p{L}[^\[\]]*\]|&#?[0-9A-Za-z]{1,10};"
+
+
+def _windows(name: str, key: str) -> str:
+    words = rf"[replace(lower(x), 'ß', 'ss') FOR x IN regexp_extract_all(regexp_replace(text, '{_NOISE}', ' ', 'g'), '[\p{{L}}\p{{N}}]+')]"
+    return f"SELECT DISTINCT {key}, array_to_string(ws[i:i + 12], ' ') AS passage FROM (SELECT {key}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {key}, {words} AS ws FROM {name} WHERE text IS NOT NULL))"
+
+
 SQL: dict[str, str] = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_windows('documents', 'doc_id')}) JOIN ({_windows('eval_items', 'item_id')}) USING (passage)",
     "p4_found": _PAIRS + "SELECT tag_key, tag_val, CASE WHEN elements < 3 THEN 'rare' ELSE 'common' END AS mark FROM counts WHERE elements < 3 OR elements * 20 >= (SELECT count(*) FROM cur WHERE len(tags) > 0)",
     "p4_counts": _PAIRS + "SELECT * FROM counts",
 }
