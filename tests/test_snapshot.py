@@ -5,7 +5,7 @@ from tilewright.functions.quadtree import common, key_of_point
 from tilewright.operators.overlay import apply_changes, overlay
 from tilewright.schema import COLUMNS, ELEMENT
 from tilewright.sources.snapshot import compact, drop_last, file_list, init_snapshot, read_snapshot, update_snapshot
-from tilewright.streaming.updates import follow
+from tilewright.streaming.updates import follow, keep_newest
 
 AT = {1: (100_000_000, 500_000_000), 2: (100_010_000, 500_010_000), 3: (100_020_000, 500_000_000), 4: (-900_000_000, 100_000_000), 5: (-900_010_000, 100_010_000)}
 
@@ -92,6 +92,17 @@ def test_stream_of_change_files(spark, root, tmp_path_factory):
     assert (0, 4) not in now and now[0, 3].info.version == 3
 
 
+def test_newest_of_a_stream_and_of_no_files(spark, tmp_path):
+    schema = ELEMENT + ", file_idx int"
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert keep_newest(spark, str(empty), schema, ["type", "id"]).collect() == []
+    for n, rows in enumerate([[node(3, 4, 2)], [node(3, 4, 1), node(4, 1, 2)], [node(3, 1, 2)]]):
+        spark.createDataFrame([(*r, n) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "full"))
+    got = {r.id: (r.changetype, r.file_idx) for r in keep_newest(spark, str(tmp_path / "full"), schema, ["id", "changetype", "file_idx"]).collect()}
+    assert got == {3: (4, 0), 4: (1, 1)}
+
+
 BASE = "tile_qt bigint, type int, id bigint, changetype int, v int"
 
 

@@ -30,11 +30,15 @@ def keep_newest(spark: SparkSession, path: str, schema: str, columns: list[str])
     itself; folding the batches' rows gives the result, in whatever order they came.
     """
     root = f"{shared_dir(spark)}/tilewright/stream-{uuid.uuid4().hex}"
+    batches: list[int] = []
 
     def apply(batch: DataFrame, number: int) -> None:
+        batches.append(number)
         newest_changes(batch).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
 
     run_available(stream_changes(spark, path, schema), f"{root}/state", apply)
+    if not batches:  # a folder without files
+        return spark.createDataFrame([], schema).select(*columns)
     return newest_changes(spark.read.parquet(f"{root}/rows").drop("batch")).select(*columns)
 
 
