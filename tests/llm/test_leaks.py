@@ -5,6 +5,7 @@ import pytest
 
 from tilewright.llm import leaks
 from tilewright.llm.leaks import align, leaked_items, words_of
+from tilewright.llm.queries import p9_edited
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id string, score int", "item_id bigint, text string, doc_id int"
 
@@ -71,3 +72,34 @@ def test_nulls_copies_and_long_texts(spark):
 
 def test_empty_tables(spark):
     assert found(spark, [], []) == found(spark, [(1, "a b c")], []) == found(spark, [], [(1, "a b c d e f g h i j k l m n")]) == []
+
+
+def smith_waterman(a, b):
+    score, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, row[j] - 1))
+        score, before = max(score, *row), row
+    return score
+
+
+def test_edited_copies_equal_brute_force(spark, tmp_path):
+    rng = random.Random(19)
+    vocabulary = [f"w{k}" for k in range(60)]
+    sentence = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {k: [f"i{k}x{j}" if rng.random() < 0.5 else rng.choice(vocabulary) for j in range(rng.choice([5, 12, 13, 14, 40, 70]))] for k in range(9)}
+    docs = []
+    for _ in range(70):
+        every, words = rng.choice([2, 3, 4, 7, 9, 12, 99]), []
+        for j, w in enumerate(rng.choice(list(items.values())), 1):  # an edit at least every so many words
+            words += [w] if j % every else rng.choice([[], ["new"], [w, "new"]])
+        docs.append(sentence(rng.randrange(60)) + words + sentence(rng.randrange(60)))
+    docs += [[], ["w1"] * 40_000, items[max(items, key=lambda k: len(items[k]))][:9] * 30]
+    spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {(r.doc_id, r.item_id): (r.score, r.run) for r in p9_edited(spark, str(tmp_path)).collect()}
+    want = {(d, i): s for d, a in enumerate(docs) for i, b in items.items() if len(a) < 40_000 and (s := smith_waterman(a, b)) >= 26}
+    assert {k: s for k, (s, _) in got.items()} == want
+    assert any(longest(docs[d], items[i]) < 6 for d, i in want)
+    assert all(run == longest(docs[d], items[i]) for (d, i), (_, run) in got.items())

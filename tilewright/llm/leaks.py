@@ -17,6 +17,8 @@ WORD = re.compile(r"[^\W_]+")
 SEED, WINDOW = 6, 13
 #: Test items handled at a time; what is sent to the executors is bounded by so many items' words.
 ITEMS_A_BLOCK = 20_000
+#: The same where documents are compared with every item, and the items and words of a part of it that has its own tables.
+COMPARED_A_BLOCK, ITEMS_A_PART, WORDS_A_PART = 2_000, 256, 65_536
 MATCH, MISMATCH, GAP = 2, -1, -1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -148,8 +150,8 @@ def _spans(places: list[int], width: int) -> list[tuple[int, int]]:
     return out
 
 
-def _aligned(jobs: list[tuple], items: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    """One row for each document and item: the best of its passages. Passages of like length are aligned together."""
+def _scores(jobs: list[tuple], items: list[tuple[int, np.ndarray]]) -> dict[tuple, tuple[int, int]]:
+    """Best score and run of the passages of each document and item. Passages of like length are aligned together."""
     best: dict[tuple, tuple[int, int]] = {}
     order = sorted(range(len(jobs)), key=lambda k: len(jobs[k][1]))
     lo = 0
@@ -161,6 +163,11 @@ def _aligned(jobs: list[tuple], items: list[tuple[int, np.ndarray]]) -> pa.Recor
         for (pair, _), score, run in zip(some, *align_all([p for _, p in some], [items[pair[2]][1] for pair, _ in some])):
             old = best.get(pair, (0, 0))
             best[pair] = (max(old[0], int(score)), max(old[1], int(run)))
+    return best
+
+
+def _rows(best: dict[tuple, tuple[int, int]], items: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """One row for each document and item."""
     out = [(doc_id, items[nth][0], score, run, len(items[nth][1])) for (_, doc_id, nth), (score, run) in sorted(best.items(), key=lambda x: (x[0][0], x[0][2]))]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "score", "run", "item_words"])
 
@@ -184,11 +191,140 @@ def _find(block: ItemBlock):
                     words = codes[starts[doc] : starts[doc + 1] - SEED]
                     jobs.extend(((lo + doc, doc_ids[doc], nth), words[a:b]) for a, b in _spans(places, len(items[nth][1])))
             if jobs:
-                yield _aligned(jobs, items)
+                yield _rows(_scores(jobs, items), items)
 
     return find
 
 
+class ItemPart:
+    """Which words, and which pairs of consecutive words, each item of a part has: tables with a row for each of them."""
+
+    def __init__(self, nths: list[int], words: list[np.ndarray], n_codes: int):
+        self.nths = np.array(nths, np.int64)
+        used = np.unique(np.concatenate(words))
+        self.local = np.full(n_codes + 1, len(used), np.int64)  # of code -1 too
+        self.local[used] = np.arange(len(used))
+        pairs = [self.local[w[:-1]] * (len(used) + 1) + self.local[w[1:]] for w in words]
+        self.pairs = np.unique(np.concatenate(pairs))
+        self.has_word = np.zeros((len(used) + 1, len(words)), np.int8)
+        self.has_pair = np.zeros((len(self.pairs) + 1, len(words)), np.int8)
+        for k, (w, p) in enumerate(zip(words, pairs)):
+            self.has_word[self.local[w], k] = 1
+            self.has_pair[np.searchsorted(self.pairs, p), k] = 1
+
+    def spans(self, texts: list[np.ndarray], least: int) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to) wherever an alignment of the text and the item may score ``least``: one that does lies inside.
+
+        A word that the item has adds MATCH, another one takes GAP. Two words in a row that the item has, but not in a
+        row, can't both be matched without a gap. So no alignment scores more than the greatest sum of a stretch.
+        """
+        n = np.array([len(t) for t in texts])  # longest first
+        height = int(n[0])
+        at = np.full((height + 1, len(texts)), len(self.has_word) - 1, np.int64)
+        for k, t in enumerate(texts):
+            at[1 : len(t) + 1, k] = self.local[t]
+        pair = at[:-1] * len(self.has_word) + at[1:]
+        found = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        found = np.where(self.pairs[found] == pair, found, len(self.pairs))
+        at = at[1:]
+        kind = np.int16 if MATCH * height < 32_000 else np.int32
+        total = np.zeros((len(texts), len(self.nths)), kind)
+        best, before = np.zeros_like(total), np.zeros(total.shape, np.int8)
+        for t in range(height):
+            m = int(np.searchsorted(-n, -t, "left"))  # texts that go on
+            now, sums = self.has_word[at[t, :m]], total[:m]
+            sums += now * np.int8(MATCH - GAP) + np.int8(GAP) + (self.has_pair[found[t, :m]] - (before[:m] & now)) * np.int8(-GAP)
+            np.maximum(sums, 0, out=sums)
+            np.maximum(best[:m], sums, out=best[:m])
+            before = now
+        which, item = np.nonzero(best >= least)
+        # again for these only: from where the first stretch that reaches ``least`` begins to where the last one holds it
+        total, before = np.zeros(len(which), np.int64), np.zeros(len(which), np.int8)
+        begin, first, last = np.zeros(len(which), np.int64), np.full(len(which), -1), np.zeros(len(which), np.int64)
+        for t in range(height):
+            m = int(np.searchsorted(which, np.searchsorted(-n, -t, "left")))
+            if not m:
+                break
+            begin[:m][total[:m] == 0] = t
+            now, sums = self.has_word[at[t, which[:m]], item[:m]], total[:m]
+            sums += now * np.int8(MATCH - GAP) + np.int8(GAP) + (self.has_pair[found[t, which[:m]], item[:m]] - (before[:m] & now)) * np.int8(-GAP)
+            np.maximum(sums, 0, out=sums)
+            reached = sums >= least
+            first[:m] = np.where(reached & (first[:m] < 0), begin[:m], first[:m])
+            last[:m][reached] = t
+            before = now
+        return list(zip(which.tolist(), self.nths[item].tolist(), first.tolist(), (last + 1).tolist()))
+
+
+def _compare(block: ItemBlock, least: int):
+    def parts() -> Iterator[ItemPart]:
+        nths, words, total = [], [], 0
+        for nth, (_, w) in enumerate(block.items):
+            if MATCH * len(w) < least or len(w) < 2:
+                continue
+            if words and (len(words) == ITEMS_A_PART or total + len(w) > WORDS_A_PART):
+                yield ItemPart(nths, words, len(block.code))
+                nths, words, total = [], [], 0
+            nths.append(nth)
+            words.append(w)
+            total += len(w)
+        if words:
+            yield ItemPart(nths, words, len(block.code))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, items = list(parts()), block.items
+        for batch in batches:
+            for lo in range(0, batch.num_rows if tables else 0, SOME):
+                doc_ids = batch.column("doc_id").slice(lo, SOME).to_pylist()
+                codes, starts = block.codes(batch.column("text").slice(lo, SOME))
+                texts = [codes[a : b - SEED] for a, b in zip(starts[:-1], starts[1:])]
+                order = sorted((k for k, t in enumerate(texts) if MATCH * len(t) >= least), key=lambda k: -len(texts[k]))
+                jobs, some = [], 0
+                while some < len(order):
+                    group = order[some : some + max(1, CELLS // len(texts[order[some]]))]
+                    some += len(group)
+                    for part in tables:
+                        jobs.extend(((group[k], doc_ids[group[k]], nth), texts[group[k]][a:b]) for k, nth, a, b in part.spans([texts[k] for k in group], least))
+                scored = _scores(jobs, items)
+                # the longest run may lie elsewhere in the text
+                kept = _scores([(pair, texts[pair[0]]) for pair, (score, _) in scored.items() if score >= least], items)
+                if kept:
+                    yield _rows(kept, items)
+
+    return compare
+
+
+def edited_items(documents: DataFrame, items: DataFrame, least: int = MATCH * WINDOW) -> DataFrame:
+    """(doc_id, item_id, score, run, item_words) of each document and item whose best alignment scores at least ``least``.
+
+    Tables and columns as in ``leaked_items``; ``run`` is the longest in the whole document. ``least`` is at least 3.
+
+    An edited copy need not share any n-gram with its item, so there are no seeds: every document is compared with
+    every item by an upper bound of their score, which takes a step a word for many documents and items at once.
+    Only what the bound admits is aligned. Items go in blocks of COMPARED_A_BLOCK.
+    """
+    return _by_block(documents, items, COMPARED_A_BLOCK, lambda texts, some: texts.mapInArrow(_compare(ItemBlock(some), least), FOUND))
+
+
+FOUND = "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint"
+
+
+def _by_block(documents: DataFrame, items: DataFrame, size: int, run) -> DataFrame:
+    """Union of what ``run`` makes of the documents and each block of items."""
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = None
+    block: list[tuple[int, str]] = []
+    for row in items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text")).toLocalIterator():
+        block.append((row["item_id"], row["text"]))
+        if len(block) == size:
+            part = run(texts, block)
+            found, block = part if found is None else found.unionByName(part), []
+    if block or found is None:
+        part = run(texts, block)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, run, item_words) of each document and item that share a seed.
 
@@ -199,28 +335,17 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     All n-grams of SEED words of the items are counted over the whole corpus. The rarest of every WINDOW consecutive
     words of an item are its seeds, so every run of WINDOW words has one. Seeds join passages to items, and each
-    joined passage is aligned as far as the item's length reaches. Items go in blocks of ITEMS_A_BLOCK.
+    joined passage is aligned as far as the item's length reaches. Items go in blocks of ITEMS_A_BLOCK. This is whole for
+    runs of WINDOW words only: copies edited more often have no seed where the rarest n-gram is in no document.
     """
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, score bigint, run bigint, item_words bigint"
-    found = None
-    block: list[tuple[int, str]] = []
 
-    def run(some: list[tuple[int, str]]) -> DataFrame:
+    def run(texts: DataFrame, some: list[tuple[int, str]]) -> DataFrame:
         held = ItemBlock(some)
         counted = texts.select("text").mapInArrow(_count_keys(held), "nth bigint, n bigint").groupBy("nth").agg(F.sum("n").alias("n"))
         counts = np.zeros(max(1, len(held.keys)), np.int64)
         for row in counted.toLocalIterator():
             counts[row["nth"]] = row["n"]
         held.choose(counts)
-        return texts.mapInArrow(_find(held), schema)
+        return texts.mapInArrow(_find(held), FOUND)
 
-    for row in items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text")).toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        if len(block) == ITEMS_A_BLOCK:
-            part = run(block)
-            found, block = part if found is None else found.unionByName(part), []
-    if block or found is None:
-        part = run(block)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return _by_block(documents, items, ITEMS_A_BLOCK, run)

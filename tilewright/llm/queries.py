@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.frequency import marked_terms
-from tilewright.llm.leaks import leaked_items
+from tilewright.llm.leaks import edited_items, leaked_items
 from tilewright.llm.mojibake import garbled_documents, restored_documents
 from tilewright.llm.tokenize import encode_texts
 from tilewright.operators.current import current_rows
@@ -44,7 +44,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_edited(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose best alignment with an item scores as 13 equal words do, with score and longest run."""
-    return leaked_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items")).where("score >= 26").select("doc_id", "item_id", "score", "run")
+    return edited_items(_table(spark, folder, "documents"), _table(spark, folder, "eval_items"), 26).select("doc_id", "item_id", "score", "run")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
