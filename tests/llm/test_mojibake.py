@@ -64,3 +64,13 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     assert garbled_documents(frame(spark, [])).collect() == [] == restored_documents(frame(spark, [])).collect()
+
+
+def test_copies_do_not_outnumber_originals(spark):
+    clean = [f"{CLEAN[3]} Straße {k} так ÓŁ" for k in range(9)]
+    word, piece, sign = CLEAN[3].encode("cp1250").decode("latin-1"), "Die Straße".encode().decode("cp1252"), "schön für ñandú".encode().decode("cp1252")
+    texts = clean + [word] * 40 + [piece] * 40 + [f"{sign} {k}" for k in range(40)] + ["öüñú ⠪ӣ"]
+    df = frame(spark, texts)
+    assert {r.doc_id for r in garbled_documents(df).collect()} == set(range(9, 129))
+    restored = {r.doc_id: r.restored for r in restored_documents(df).collect()}
+    assert restored[9] == CLEAN[3] and restored[49] == "Die Straße" and restored[89] == "schön für ñandú 0"

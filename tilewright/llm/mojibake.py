@@ -87,6 +87,17 @@ def _is_mark(c: str) -> bool:
     return c > "\x7f" and c != LOST and unicodedata.category(c) not in ("Cc", "Cn", "Co", "Cs")
 
 
+#: Signs that stand beside letters in ordinary text.
+PUNCTUATION = set("“”‘’‚„«»‹›–—…¡¿·")
+#: Signs that count as letters.
+NO_LETTERS = set("ªºµ")
+
+
+def _has_sign(run: str) -> bool:
+    """Whether a run has a sign that words and sentences are not written with: its letters are hardly meant as they are."""
+    return any((c in NO_LETTERS or unicodedata.category(c)[0] not in "LMZ") and c not in PUNCTUATION for c in run)
+
+
 def garbled_characters(c: str) -> Iterator[str]:
     """Forms of a character whose UTF-8 was decoded wrongly once or twice, or that was lost in decoding."""
     for last in SINGLE_BYTE:
@@ -126,11 +137,14 @@ def garbled_words(word: str) -> Iterator[tuple[str, str]]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens (t), non-ASCII characters (c) and garbled pieces (p) of every text that isn't plain ASCII."""
+    """Distinct tokens (t), non-ASCII characters (c) and garbled pieces (p) of every text that isn't plain ASCII.
+
+    Pieces of a run that can be undone as a whole and has a sign come out as (s) too. ``copy`` is equal for equal texts.
+    """
     runs: dict[str, list[str]] = {}
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text in zip(batch.column("row_id").to_pylist(), batch.column("text")):
+        for doc_id, copy, text in zip(batch.column("row_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text")):
             text = text.as_py()
             if not text or text.isascii():
                 continue
@@ -149,24 +163,27 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if len(runs) > 200_000:
                             runs.clear()
                         pieces = runs[run] = [g for g, _ in undo_utf8(run)]
+                    sign = bool(pieces) and _has_sign(run)
                     for g in pieces:
                         found["p", g] = None
+                        if sign:
+                            found["s", g] = None
                     found["p", run] = None
             for c in set(text):
                 if _is_mark(c):
                     found["c", c] = None
                 elif c == LOST:
                     found["p", c] = None
-            rows.extend((doc_id, kind, token) for kind, token in found)
+            rows.extend((doc_id, copy, kind, token) for kind, token in found)
             if len(rows) > 100_000:
-                yield _batch(rows, ["row_id", "kind", "token"])
+                yield _batch(rows, ["row_id", "copy", "kind", "token"])
                 rows = []
         if rows:
-            yield _batch(rows, ["row_id", "kind", "token"])
+            yield _batch(rows, ["row_id", "copy", "kind", "token"])
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    numbers = {"row_id", "original_docs"}
+    numbers = {"row_id", "copy", "original_docs", "original_texts"}
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in numbers else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
 
 
@@ -174,11 +191,12 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Garbled forms of clean words and characters."""
     for batch in batches:
         rows: dict[tuple, None] = {}
-        for kind, token, docs in zip(*(batch.column(c).to_pylist() for c in ("kind", "token", "docs"))):
+        for kind, token, docs, texts in zip(*(batch.column(c).to_pylist() for c in ("kind", "token", "docs", "texts"))):
             if kind == "c":
                 for form in garbled_characters(token):
                     if form != token:
-                        rows["p", form, token, "utf-8", docs] = None
+                        rows["p", form, token, "utf-8", docs, texts] = None
+                        rows["s", form, token, "utf-8", docs, texts] = None
                 continue
             if not all(c < "\x80" or _is_mark(c) for c in token):
                 continue
@@ -188,25 +206,29 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # bytes of a double-byte character may be ASCII and end a token; long parts stand for the whole
                 parts = [form] if TOKEN.fullmatch(form) else [r for r in FOREIGN.findall(form) if len(r) > 3]
                 for part in parts:
-                    rows["t", part, token, chain, docs] = None
+                    rows["t", part, token, chain, docs, texts] = None
             if len(rows) > 50_000:
-                yield _batch(list(rows), ["kind", "form", "original", "chain", "original_docs"])
+                yield _batch(list(rows), ["kind", "form", "original", "chain", "original_docs", "original_texts"])
                 rows = {}
         if rows:
-            yield _batch(list(rows), ["kind", "form", "original", "chain", "original_docs"])
+            yield _batch(list(rows), ["kind", "form", "original", "chain", "original_docs", "original_texts"])
 
 
 def _evidence(documents: DataFrame, least_ratio: int) -> DataFrame:
     """(doc_id, kind, form, original, chain) of the confirmed garbled forms in documents."""
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text"))
-    tokens = cut(rows.mapInArrow(_tokens, "row_id bigint, kind string, token string"), "tokens")
-    counts = cut(tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("docs")), "counts")
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
+    tokens = cut(rows.mapInArrow(_tokens, "row_id bigint, copy bigint, kind string, token string"), "tokens")
+    counts = cut(tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("copy").alias("texts")), "counts")
     clean = counts.where((F.col("kind") == "c") | ((F.col("kind") == "t") & (F.col("docs") >= least_ratio)))
     spread = clean.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, "token")
-    forms = spread.mapInArrow(_forms, "kind string, form string, original string, chain string, original_docs bigint")
-    seen = counts.where("kind in ('t', 'p')").withColumnRenamed("token", "form")
-    needed = F.when(F.col("kind") == "t", F.col("docs") * least_ratio).otherwise(F.col("docs"))
-    confirmed = forms.join(seen, ["kind", "form"]).where((F.col("original_docs") >= needed) | (F.col("form") == LOST))
+    forms = spread.mapInArrow(_forms, "kind string, form string, original string, chain string, original_docs bigint, original_texts bigint")
+    seen = counts.where("kind in ('t', 'p', 's')").withColumnRenamed("token", "form")
+    ratio = F.when(F.col("kind") == "t", least_ratio).otherwise(1)
+    # a garbled text that is copied often outnumbers its originals by documents, but not by distinct texts
+    enough = (F.col("original_docs") >= F.col("docs") * ratio) | (F.col("original_texts") >= F.col("texts") * ratio)
+    # nor may copies of a garbled text make its forms the originals of the words
+    enough = enough & ((F.col("kind") != "t") | (F.col("original_texts") >= F.col("texts")))
+    confirmed = forms.join(seen, ["kind", "form"]).where(enough | (F.col("kind") == "s") | (F.col("form") == LOST))
     # of several originals of a form under one chain the most frequent, then the smallest
     best = confirmed.groupBy("kind", "form", "chain").agg(F.min(F.struct((-F.col("original_docs")).alias("n"), "original")).alias("best"), (F.min("original") == F.max("original")).alias("sure"))
     # a form with lost characters that several words fit proves the damage, but stays as it is
@@ -223,12 +245,15 @@ def garbled_documents(documents: DataFrame, *, least_ratio: int = LEAST_RATIO) -
     The forms that every distinct word in at least ``least_ratio`` documents, and every distinct character, would take
     under all chains of encodings are a table; documents' tokens are joined to it by hash. A word is the original of a
     form only if it is in ``least_ratio`` times as many documents, which keeps foreign words that are meant. Garbled
-    UTF-8 is matched by character, as it can be told by itself. Forms of one-byte encodings count as proof only
+    UTF-8 is matched by character, which must occur clean: in any document, where the run that is undone has a sign that words
+    are not written with; else in as many documents as the form, since words can look like UTF-8 by chance ("так" in
+    cp866). All of these comparisons hold if they do by documents or by distinct texts, so copies can't outnumber
+    originals; a word must be in at least as many distinct texts as its form. Forms of one-byte encodings count as proof only
     together: two words of two foreign characters, or of one among three characters, under one chain, or one word of three.
     """
     foreign = F.length(F.regexp_replace("form", r"[\x00-\x7f]", ""))
     alone = F.when(foreign >= 3, 2).when((foreign == 2) | (F.length("form") >= 3), 1).otherwise(0)
-    strength = F.when((F.col("kind") == "p") | F.col("form").contains(LOST), 9).otherwise(alone)
+    strength = F.when(F.col("kind").isin("p", "s") | F.col("form").contains(LOST), 9).otherwise(alone)
     found = _evidence(documents, least_ratio).withColumn("strength", strength)
     by_chain = found.groupBy("doc_id", "chain").agg(F.collect_set(F.struct("form", "original", "kind", "strength")).alias("pairs"))
     proven = by_chain.where(F.aggregate("pairs", F.lit(0), lambda n, p: n + p["strength"]) >= 2)
@@ -254,7 +279,7 @@ def _undone(run: str, pieces: set[str]) -> str | None:
 
 def restore(text: str, pairs: list[dict]) -> str:
     """``text`` with the garbled forms of ``pairs`` replaced by their originals."""
-    pieces = {p["form"]: p["original"] for p in pairs if p["kind"] == "p" and p["form"] != LOST}
+    pieces = {p["form"]: p["original"] for p in pairs if p["kind"] in "ps" and p["form"] != LOST}
     words = {p["form"]: p["original"] for p in pairs if p["kind"] == "t"}
     known = set(pieces)
 
