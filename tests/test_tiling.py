@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tilewright.element_queries import group_tiles, qt_fold_small
 from tilewright.operators import tiling
 from tilewright.operators.extract import area_ids, filter_members, in_range, outside
 from tilewright.operators.keys import relation_keys
@@ -90,3 +91,19 @@ def test_areas_sets_and_members(spark):
     assert area_ids(nodes, ways, relations, (0, 0, 10, 10), [(0, 0), (1, 0), (1, 1)]).count() == 0
     assert outside(nodes.select(F.lit(0).alias("type"), "id"), ids).count() == 2
     assert [r.id for r in nodes.where(in_range(F.col("id"), 2, 4)).collect()] == [2, 3] and nodes.where(in_range(F.col("id"), 2, 0)).count() == 3
+
+
+def test_dense_areas_are_divided(spark, tmp_path):
+    rng = random.Random(5)
+    top = TileTree.up(1998382305151811602, 9)
+    weights = {}
+    for _ in range(600):  # all in one tile of level 8
+        deep = (top - 9) + sum(rng.randrange(4) << (61 - 2 * i) for i in range(9, 15)) + 15
+        weights[deep] = rng.randrange(1, 100)
+    spark.createDataFrame(list(weights.items()), "qt bigint, weight bigint").write.parquet(f"{tmp_path}/qt_items.parquet")
+    got = {r.tile_qt: r.weight for r in group_tiles(spark, str(tmp_path)).collect()}
+    assert got == TileTree(weights).groups(2000, 500) and len(got) > 5 and max(got.values()) < 10_000
+    folded = {r.quadtree: r.n for r in qt_fold_small(spark, str(tmp_path)).collect()}
+    assert sum(folded.values()) == sum(weights.values()) and len(folded) > 50
+    light = {r.quadtree: r.n for r in tiling.without_light(histogram(spark, weights), 500).collect()}
+    assert len(light) < len(weights) and TileTree(light).groups(2000, 500) == got

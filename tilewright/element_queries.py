@@ -19,6 +19,8 @@ BOX = (115_000_000, 431_000_000, 121_000_000, 435_000_000)
 RING = [(115_500_000, 431_500_000), (120_500_000, 431_800_000), (119_000_000, 434_600_000), (116_000_000, 434_200_000)]
 #: Tiles may not be found for the level of a histogram that is deeper than this.
 LEVEL = 8
+#: Level of the histogram that groups and folded tiles are made from, so that dense areas are divided.
+DEEPEST = 17
 #: A date inside the span of the tile files' end dates.
 AS_OF = 1_705_000_000
 MONTH = 26
@@ -125,17 +127,21 @@ def qt_histogram(spark: Spark, folder: str) -> DataFrame:
     return tiling.key_histogram(table(spark, folder, "qt_items").withColumnRenamed("qt", "quadtree"), LEVEL, "weight").where("n is not null")
 
 
+def _deep_histogram(spark: Spark, folder: str) -> DataFrame:
+    return tiling.key_histogram(table(spark, folder, "qt_items").withColumnRenamed("qt", "quadtree"), DEEPEST, "weight").where("n is not null")
+
+
 def qt_rollup(spark: Spark, folder: str) -> DataFrame:
     return tiling.subtree_totals(qt_histogram(spark, folder))
 
 
 def qt_fold_small(spark: Spark, folder: str) -> DataFrame:
     """Histogram with tiles below 200 folded into their parents."""
-    return tiling.rolled_up(qt_histogram(spark, folder), 200, LEVEL)
+    return tiling.rolled_up(_deep_histogram(spark, folder), 200, DEEPEST)
 
 
 def group_tiles(spark: Spark, folder: str) -> DataFrame:
-    return tiling.grouped_tiles(qt_histogram(spark, folder), 2000, 500)
+    return tiling.grouped_tiles(_deep_histogram(spark, folder), 2000, 500)
 
 
 def tiles_of_box(spark: Spark, folder: str) -> DataFrame:

@@ -36,7 +36,7 @@ def rolled_up(histogram: DataFrame, least: int, levels: int = 17) -> DataFrame:
 
 
 class TileTree:
-    """Tree of the tiles of a histogram, on the driver. Its size is that of the histogram: at most 4**level tiles."""
+    """Tree of the tiles of a histogram, on the driver. Its size is that of the histogram and the tiles above."""
 
     def __init__(self, weights: dict[int, int]):
         self.own: dict[int, int] = defaultdict(int)
@@ -90,13 +90,26 @@ class TileTree:
         return taken
 
 
+def without_light(histogram: DataFrame, least: int) -> DataFrame:
+    """Histogram in which each greatest subtree with a total below ``least`` is one tile, its root; weights aren't negative.
+
+    No part of such a subtree is a group by itself, so groups are the same; it has at most 4 rows for each heavier tile more.
+    """
+    heavy = subtree_totals(histogram).where(F.col("total") >= least).select(F.col("quadtree").alias("at"))
+    up = histogram.select("quadtree", "n", F.explode(ancestors("quadtree")).alias("at"))
+    deepest = up.join(heavy, "at").groupBy("quadtree").agg(F.max(depth("at")).alias("heavy"))
+    below = tile_round("quadtree", F.least(depth("quadtree"), F.coalesce("heavy", F.lit(-1)) + 1).cast("int"))
+    return histogram.join(deepest, "quadtree", "left").groupBy(below.alias("quadtree")).agg(F.sum("n").alias("n"))
+
+
 def grouped_tiles(histogram: DataFrame, target: int, least: int) -> DataFrame:
     """(tile_qt, weight, nth) of size-bounded groups, numbered from 1 in pre-order.
 
-    The greedy choice is sequential; it runs on the driver over the histogram, whose size the rounding level bounds.
+    The greedy choice is sequential; it runs on the driver, over what is left when subtrees lighter than ``least`` are one tile
+    each. So its size follows the total weight divided by ``least``, times the depth, whatever the level of the keys.
     """
     spark = histogram.sparkSession
-    tree = TileTree({r["quadtree"]: r["n"] for r in histogram.toLocalIterator()})
+    tree = TileTree({r["quadtree"]: r["n"] for r in without_light(histogram, least).toLocalIterator()})
     rows = [(qt, n, k) for k, (qt, n) in enumerate(sorted(tree.groups(target, least).items()), 1)]
     return spark.createDataFrame(rows, "tile_qt bigint, weight bigint, nth int")
 
