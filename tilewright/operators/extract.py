@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.geo import in_box, in_polygon
 from tilewright.operators.keys import way_nodes
 from tilewright.plans.lineage import cut
-
-#: Steps from relation to relation that are made before what was found is written.
-HOPS = 4
-
+from tilewright.plans.reach import Links
 
 def in_range(id_: Column, least: int, below: int) -> Column:
     """Half-open range of ids; without an upper end if ``below`` isn't positive."""
@@ -40,9 +37,9 @@ def named_ids(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFr
     return out.where("type is not null and id is not null").distinct()
 
 
-def area_ids(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: tuple[int, int, int, int], ring: list[tuple[int, int]] | None = None, *, rounds: int = 60) -> DataFrame:
+def area_ids(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: tuple[int, int, int, int], ring: list[tuple[int, int]] | None = None) -> DataFrame:
     """(type, id) of an area: nodes in the box (and ring), ways with any of them, all nodes of those ways, relations with any of
-    these as member, and relations with such relations as members, until nothing is added or ``rounds`` are over.
+    these as member, and relations with such relations as members, at any depth and in circles too.
 
     Ways' nodes count whether or not the node table has them; only ids of the way and relation tables are found for those.
     """
@@ -56,16 +53,17 @@ def area_ids(nodes: DataFrame, ways: DataFrame, relations: DataFrame, box: tuple
     low = cut(all_nodes.select(F.lit(0).alias("type"), "id").unionByName(got_ways.select(F.lit(1).alias("type"), "id")), "area")
     members = cut(relations.select("id", F.explode("members").alias("m")).select("id", F.col("m.type").alias("kind"), F.col("m.ref").alias("ref")).distinct(), "members")
     found = cut(members.join(low.select(F.col("type").alias("kind"), F.col("id").alias("ref")), ["kind", "ref"], "left_semi").select("id").distinct(), "relations")
-    nested = members.where("kind = 2").select("id", "ref")
-    fresh = found
-    for _ in range(rounds):
-        steps = [fresh]
-        for _ in range(HOPS):
-            steps.append(nested.join(steps[-1].withColumnRenamed("id", "ref"), "ref", "left_semi").select("id"))
-        fresh = cut(reduce(DataFrame.union, steps[1:]).distinct().join(found, "id", "left_anti"), "relations")
+    known = relations.select(F.col("id").alias("ref"))
+    nested = Links(members.where("kind = 2").select("id", "ref").join(known, "ref", "left_semi"))
+    parts, fresh = [found], found
+    while True:
+        above = nested.links.join(found.withColumnRenamed("id", "ref"), "ref", "left_semi").select("id").distinct()
+        fresh = cut(above.join(found, "id", "left_anti"), "relations")
         if not fresh.limit(1).count():
             break
-        found = found.union(fresh)
+        parts.append(fresh)
+        found = reduce(DataFrame.union, parts)
+        nested.widen()
     return low.unionByName(found.select(F.lit(2).alias("type"), "id"))
 
 

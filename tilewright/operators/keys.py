@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.quadtree import BUFFER, DEPTH, common, common_of, key_of_box, key_of_point
-from tilewright.plans.lineage import cut
+from tilewright.plans.lineage import cut, forget
+from tilewright.plans.reach import Links
 
 
 def way_nodes(ways: DataFrame) -> DataFrame:
@@ -34,25 +35,29 @@ def node_keys(nodes: DataFrame, ways: DataFrame, keyed_ways: DataFrame, buffer:
     return both.withColumn("own", key_of_point("lon", "lat", buffer, max_depth)).select("id", F.when(F.coalesce("shared", F.lit(-1)) >= 0, F.col("shared")).otherwise(F.col("own")).alias("quadtree"))
 
 
-def relation_keys(relations: DataFrame, keyed_nodes: DataFrame, keyed_ways: DataFrame, *, rounds: int = 60) -> DataFrame:
+def relation_keys(relations: DataFrame, keyed_nodes: DataFrame, keyed_ways: DataFrame) -> DataFrame:
     """(id, quadtree): the deepest tile that holds all members; missing members are ignored, without any it is 0.
 
-    Members that are relations pass their key on in rounds until none changes (or ``rounds`` are over), with the
-    state cut each time. Keys only get coarser, so circles come to rest too.
+    Members that are relations pass their key on in rounds until none changes, at any depth. Keys only get coarser, so
+    circles come to rest too; a round reaches twice as far as the one before.
     """
     members = relations.select("id", F.explode("members").alias("m")).select("id", F.col("m.type").alias("kind"), F.col("m.ref").alias("ref")).distinct()
     leaves = keyed_nodes.select(F.lit(0).alias("kind"), F.col("id").alias("ref"), "quadtree").unionByName(keyed_ways.select(F.lit(1).alias("kind"), F.col("id").alias("ref"), "quadtree"))
     direct = members.join(leaves, ["kind", "ref"]).groupBy("id").agg(common_of("quadtree").alias("quadtree"))
     state = cut(relations.select("id").join(direct, "id", "left").select("id", F.coalesce("quadtree", F.lit(-1)).alias("quadtree")), "keys")
-    nested = cut(members.where("kind = 2").select("id", "ref"), "nested")
-    for _ in range(rounds):
-        step = state
-        for _ in range(2):  # two steps a round: each reads the one before twice
-            passed = nested.join(step.select(F.col("id").alias("ref"), "quadtree"), "ref").groupBy("id").agg(common_of("quadtree").alias("passed"))
-            step = step.join(passed, "id", "left").select("id", common("quadtree", F.coalesce("passed", F.lit(-1))).alias("quadtree"))
-        step = step.join(state.withColumnRenamed("quadtree", "before"), "id")
+    nested = Links(members.where("kind = 2").select("id", "ref").join(relations.select(F.col("id").alias("ref")), "ref", "left_semi"))
+    # only relations that contain others can change; the rest is joined once, at the end
+    above = nested.links.select("id").distinct()
+    inner = cut(state.join(above, "id", "left_semi"), "keys")
+    outer = cut(state.join(nested.links.select(F.col("ref").alias("id")).distinct(), "id", "left_semi").join(above, "id", "left_anti"), "keys")
+    while True:
+        passed = nested.links.join(inner.unionByName(outer).select(F.col("id").alias("ref"), "quadtree"), "ref").groupBy("id").agg(common_of("quadtree").alias("passed"))
+        step = inner.join(passed, "id", "left").select("id", common("quadtree", F.coalesce("passed", F.lit(-1))).alias("quadtree"), F.col("quadtree").alias("before"))
         step = cut(step.select("id", "quadtree", (F.col("quadtree") != F.col("before")).alias("changed")), "keys")
-        state = step.select("id", "quadtree")
+        before, inner = inner, step.select("id", "quadtree")
+        forget(before)
         if not step.where("changed").limit(1).count():
             break
-    return state.select("id", F.when(F.col("quadtree") < 0, F.lit(0)).otherwise(F.col("quadtree")).alias("quadtree"))
+        nested.widen()
+    final = state.join(inner.withColumnRenamed("quadtree", "passed"), "id", "left").select("id", F.coalesce("passed", "quadtree").alias("quadtree"))
+    return final.select("id", F.when(F.col("quadtree") < 0, F.lit(0)).otherwise(F.col("quadtree")).alias("quadtree"))

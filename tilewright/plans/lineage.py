@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
@@ -39,7 +42,19 @@ def cut(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (weakref.ref(table), path)
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Delete a table that ``cut`` gave, once nothing that is still to be computed reads it."""
+    known = _paths.pop(id(table), None)
+    if known is None or known[0]() is not table:
+        return
+    jvm = table.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(known[1])
+    path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def task_count(spark: SparkSession, rows: int, rows_a_task: int) -> int:
