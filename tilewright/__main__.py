@@ -68,7 +68,7 @@ def main(words: list[str]) -> int:
         keyed = [p.select(F.lit(k).alias("type"), "id", "quadtree") for k, p in enumerate(parts)]
         keyed[0].unionByName(keyed[1]).unionByName(keyed[2]).write.parquet(args[1])
     elif verb == "sortblocks":
-        keyed = load(spark, args[0]).drop("quadtree", "tile_qt").join(spark.read.parquet(args[1]), ["type", "id"])
+        keyed = tiling.with_keys(load(spark, args[0]), spark.read.parquet(args[1]))
         histogram = tiling.key_histogram(keyed, int(options.get("max_depth", 15)))
         tiles = tiling.grouped_tiles(histogram, int(options.get("target", 40_000)), int(options.get("min", 20_000)))
         tiling.clustered(keyed.select(*COLUMNS), tiles).write.parquet(args[2])

@@ -91,6 +91,24 @@ def box_in_polygon(ring: list[tuple], box: tuple[int, int, int, int]) -> int:
     return 3 if lines_cross(corners, [*ring, ring[0]]) else 4
 
 
+def meets_ring(box: Column, ring: list[tuple[int, int]]) -> Column:
+    """``box_in_polygon`` of boxes (struct minx, miny, maxx, maxy) and one ring, as a column; null for a null box."""
+
+    @F.arrow_udf("int")
+    def codes(boxes: pa.Array) -> pa.Array:
+        sides = (boxes.field(n).to_pylist() for n in ("minx", "miny", "maxx", "maxy"))
+        return pa.array([None if b[0] is None else box_in_polygon(ring, b) for b in zip(*sides)], pa.int32())
+
+    return codes(F.struct(*[box[n].alias(n) for n in ("minx", "miny", "maxx", "maxy")]))
+
+
+def tile_meets_ring(qt: str, ring: list[tuple[int, int]]) -> Column:
+    """Whether a tile, widened by 5 %, and the area of a ring have a point in common."""
+    from tilewright.functions.quadtree import tile_bbox
+
+    return F.coalesce(meets_ring(tile_bbox(qt, 0.05), ring).isin(1, 2, 3), F.lit(False))
+
+
 def _metres(lonlats: Column) -> Column:
     return F.transform(lonlats, lambda p: mercator(p["lon"], p["lat"]))
 

@@ -169,3 +169,27 @@ def key_of_box(minx: ColumnOrName, miny: ColumnOrName, maxx: ColumnOrName, maxy:
 
 def key_of_point(lon: ColumnOrName, lat: ColumnOrName, buffer: float = BUFFER, max_depth: int = DEPTH) -> Column:
     return key_of_box(lon, lat, lon, lat, buffer, max_depth)
+
+
+def from_xyz_int(x: int, y: int, z: int) -> int:
+    """``from_xyz`` of plain numbers."""
+    key = z
+    for i in range(z):
+        bit = z - 1 - i
+        key += ((x >> bit & 1) + 2 * (y >> bit & 1)) << (61 - 2 * i)
+    return key
+
+
+def tile_box(qt: int, buffer: float = BUFFER) -> tuple[int, int, int, int]:
+    """``tile_bbox`` of a plain key that isn't negative."""
+    z = qt & 31
+    x = y = 0
+    for i in range(z):
+        q = qt >> (61 - 2 * i) & 3
+        x, y = 2 * x + (q & 1), 2 * y + (q >> 1)
+    size = 2.0 / 2.0**z
+    x0, y1 = x * size - 1.0, 1.0 - y * size
+    flat = lambda v: (np.arctan(np.exp(v * np.pi)) * 4.0 / np.pi - 1.0) * 90.0
+    minx, maxx, miny, maxy = x0 * 180.0, (x0 + size) * 180.0, flat(y1 - size), flat(y1)
+    dx, dy = (maxx - minx) * buffer, (maxy - miny) * buffer
+    return tuple(int(v * 1e7 + np.sign(v) * 0.5) for v in (minx - dx, miny - dy, maxx + dx, maxy + dy))

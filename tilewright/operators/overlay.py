@@ -16,9 +16,14 @@ DELETE, REMOVE, UNCHANGED, MODIFY, CREATE = 1, 2, 3, 4, 5
 
 
 def newest_changes(changes: DataFrame) -> DataFrame:
-    """One row per (type, id): the highest version; of equal versions the row of the earliest file. A null version is below every other."""
-    rank = F.struct(F.coalesce("info.version", F.lit(-1)).alias("version"), (-F.coalesce("file_idx", F.lit(2**31 - 1))).alias("early"), F.col("changetype"))
-    return changes.where("type is not null and id is not null").groupBy("type", "id").agg(F.max_by(F.struct(*changes.columns), rank).alias("r")).select("r.*")
+    """One row per (type, id): the highest version; of equal versions the row of the earliest file. A null version is below every other.
+
+    Rows equal in both: the greatest change type, then the first by ``pos`` (place in the file) where there is such a
+    column, then the greatest row; so the order in which rows are read decides nothing.
+    """
+    first = [-F.col("pos")] if "pos" in changes.columns else []
+    rank = F.struct(F.coalesce("info.version", F.lit(-1)).alias("version"), (-F.coalesce("file_idx", F.lit(2**31 - 1))).alias("early"), F.col("changetype"), *[c.alias("first") for c in first], F.struct(*changes.columns).alias("row"))
+    return changes.where("type is not null and id is not null").groupBy("type", "id").agg(F.max(rank).alias("r")).select("r.row.*")
 
 
 def overlay(base: DataFrame, deltas: DataFrame, *, apply: bool = True, root: bool = False) -> DataFrame:
@@ -61,14 +66,15 @@ def files_as_of(manifest: DataFrame, end_date: int | None) -> DataFrame:
 def originals(files: DataFrame, changed: DataFrame) -> DataFrame:
     """The newest stored row of each changed (type, id): by file index, Remove rows aside; none if that row is a Delete."""
     wanted = files.where("coalesce(changetype, 0) <> 2").join(changed.select("type", "id").distinct(), ["type", "id"], "left_semi")
-    newest = wanted.groupBy("type", "id").agg(F.max_by(F.struct(*files.columns), F.struct("file_idx", "changetype")).alias("r")).select("r.*")
+    newest = wanted.groupBy("type", "id").agg(F.max(F.struct("file_idx", "changetype", F.struct(*files.columns).alias("row"))).alias("r")).select("r.row.*")
     return newest.where("coalesce(changetype, 0) <> 1")
 
 
-def id_index(elements: DataFrame) -> DataFrame:
-    """(tile_qt, type, id): which tile holds which ids, references of ways and members of relations included where those columns exist."""
+def id_index(elements: DataFrame, *, refs: bool = True) -> DataFrame:
+    """(tile_qt, type, id): which tile holds which ids, references of ways (if ``refs``) and members of relations included where those
+    columns exist."""
     parts = [elements.select("tile_qt", "type", "id")]
-    if "refs" in elements.columns:
+    if refs and "refs" in elements.columns:
         parts.append(elements.select("tile_qt", F.lit(0).alias("type"), F.explode("refs").alias("id")))
     if "members" in elements.columns:
         parts.append(elements.select("tile_qt", F.explode("members").alias("m")).select("tile_qt", F.col("m.type").alias("type"), F.col("m.ref").alias("id")))
@@ -83,9 +89,17 @@ def tiles_with(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("type", "id").distinct(), ["type", "id"], "left_semi").select("tile_qt").distinct()
 
 
-def changed_keys(nodes: DataFrame, ways: DataFrame, relations: DataFrame, changes: DataFrame) -> DataFrame:
+def ids_to_look_up(changes: DataFrame) -> DataFrame:
+    """(type, id) of all that new keys of changes depend on: what changed, and the nodes of changed ways."""
+    nodes = changes.where("type = 1 and changetype > 2").select(F.lit(0).alias("type"), F.explode("refs").alias("id")).where("id is not null")
+    return changes.select("type", "id").union(nodes).distinct()
+
+
+def changed_keys(nodes: DataFrame, ways: DataFrame, relations: DataFrame, changes: DataFrame, *, most_missing: int | None = None) -> DataFrame:
     """(type, id, quadtree, changetype) after changes, from the keys that the elements have.
 
+    With ``most_missing``, more references of changed ways to nodes that are nowhere than that are an error.
+
     ``nodes``, ``ways``, ``relations``: current live rows with ``quadtree``; ``changes``: one row per (type, id). Changed ways are
     keyed anew over all their nodes; their nodes, and changed nodes, only ever get coarser keys, and so do relations with a
     changed member. Ways whose nodes moved, but that did not change themselves, keep their key. Elements that did not
@@ -95,7 +109,12 @@ def changed_keys(nodes: DataFrame, ways: DataFrame, relations: DataFrame, change
     new_nodes = alive.where("type = 0").select("id", "lon", "lat")
     places = nodes.select("id", "lon", "lat").join(new_nodes.select("id"), "id", "left_anti").unionByName(new_nodes)
     new_ways = alive.where("type = 1").select("id", "refs")
-    way_qts = way_boxes(new_ways, places).select("id", key_of_box("minx", "miny", "maxx", "maxy").alias("quadtree"))
+    boxes = way_boxes(new_ways, places)
+    if most_missing is not None:
+        lost = boxes.agg(F.sum("missing")).first()[0] or 0
+        if lost > most_missing:
+            raise ValueError(f"{lost} nodes of changed ways are missing")
+    way_qts = boxes.select("id", key_of_box("minx", "miny", "maxx", "maxy").alias("quadtree"))
     through = way_nodes(new_ways).join(way_qts.withColumnRenamed("id", "way_id"), "way_id").groupBy(F.col("node_id").alias("id")).agg(common_of("quadtree").alias("by_way"))
     stored = nodes.select("id", F.col("quadtree").alias("old"))
     own = new_nodes.select("id", key_of_point("lon", "lat").alias("by_place"))

@@ -127,11 +127,34 @@ def assign_tiles(keys: DataFrame, tiles: DataFrame, key: str = "quadtree") -> Da
     return joined.withColumn("tile_qt", F.when(F.col(key) >= 0, F.coalesce("_tile", F.lit(0).cast("bigint")))).drop("_key", "_tile")
 
 
-def clustered(elements: DataFrame, tiles: DataFrame, rows_a_task: int = 1_000_000) -> DataFrame:
+def clustered(elements: DataFrame, tiles: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """Elements with their tile, in ranges of tiles, sorted by (tile_qt, type, id) within: ready to be written so that files and row
-    groups hold few tiles each. The range key takes the id too, so a tile with too many rows is divided."""
+    groups hold few tiles each. The range key takes the id too, so a tile with too many rows is divided.
+
+    Without ``rows_a_task`` ranges are sized by the engine from the bytes that are shuffled, which saves a count."""
     tiled = assign_tiles(elements, tiles)
-    return tiled.repartitionByRange(task_count(elements.sparkSession, elements.count(), rows_a_task), "tile_qt", "type", "id").sortWithinPartitions("tile_qt", "type", "id")
+    order = ("tile_qt", "type", "id")
+    ranged = tiled.repartitionByRange(*order) if rows_a_task is None else tiled.repartitionByRange(task_count(elements.sparkSession, elements.count(), rows_a_task), *order)
+    return ranged.sortWithinPartitions(*order)
+
+
+def with_keys(elements: DataFrame, keys: DataFrame) -> DataFrame:
+    """Elements with the ``quadtree`` of ``keys`` (type, id, quadtree). An element without a key is an error, and so is a second key
+    for one; keys of other elements are ignored."""
+    joined = elements.drop("quadtree", "tile_qt").join(keys.groupBy("type", "id").agg(F.max("quadtree").alias("quadtree"), F.count(F.lit(1)).alias("_n")), ["type", "id"], "left")
+    name = F.concat_ws(" ", F.col("type").cast("string"), F.col("id").cast("string"))
+    known = F.when(F.col("_n").isNull(), F.raise_error(F.concat(F.lit("no key for element "), name))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several keys for element "), name))).otherwise(F.col("quadtree"))
+    return joined.withColumn("quadtree", known.cast("bigint")).drop("_n")
+
+
+def joined_keys(parts: list[DataFrame]) -> DataFrame:
+    """Keys (type, id, quadtree) of several stores, which must not share an element: one that two of them have is an error."""
+    out = parts[0].select("type", "id", "quadtree")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("type", "id", "quadtree"))
+    name = F.concat_ws(" ", F.lit("stores share element"), F.col("type").cast("string"), F.col("id").cast("string"))
+    counted = out.groupBy("type", "id").agg(F.max("quadtree").alias("quadtree"), F.count(F.lit(1)).alias("_n"))
+    return counted.select("type", "id", F.when(F.col("_n") > 1, F.raise_error(name).cast("bigint")).otherwise(F.col("quadtree")).alias("quadtree"))
 
 
 def in_tile(column: str, tile: int) -> Column:
@@ -140,16 +163,20 @@ def in_tile(column: str, tile: int) -> Column:
     return F.col(column).between(q, last_below(q))
 
 
-def numbered_blocks(elements: DataFrame, size: int = 8000, bucket: int = 1 << 16) -> DataFrame:
+def numbered_blocks(elements: DataFrame, size: int = 8000, bucket: int = 1 << 16, *, strict: bool = False) -> DataFrame:
     """(type, id, block): elements in order of (type, id), ``size`` to a block, numbered from 0 per type.
 
-    Positions come from counts of id ranges and a rank inside each range, so no single task sees a whole type.
+    ``strict`` makes an element that comes twice an error. Positions come from counts of id ranges and a rank inside each range, so no single task sees a whole type.
     """
     keyed = elements.select("type", "id").withColumn("range", F.floor(F.col("id") / bucket).cast("bigint"))
     counts = keyed.groupBy("type", "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("type").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     starts = counts.select("type", "range", before.alias("start"))
-    inside = F.row_number().over(Window.partitionBy("type", "range").orderBy("id")) - 1
+    along = Window.partitionBy("type", "range").orderBy("id")
+    inside = F.row_number().over(along) - 1
+    if strict:
+        twice = F.concat_ws(" ", F.lit("element comes twice:"), F.col("type").cast("string"), F.col("id").cast("string"))
+        keyed = keyed.withColumn("_before", F.lag("id").over(along)).withColumn("id", F.when(F.col("_before") == F.col("id"), F.raise_error(twice).cast("bigint")).otherwise(F.col("id"))).drop("_before")
     return keyed.withColumn("inside", inside).join(starts, ["type", "range"]).select("type", "id", F.floor((F.col("start") + F.col("inside")) / size).cast("bigint").alias("block"))
 
 

@@ -1,115 +1,163 @@
 """Datasets of a base and dated deltas in one folder, with a list of their files.
 
-``base`` and ``delta/file_idx=N`` hold elements with their tile, clustered by tile; ``filelist.json`` names them in order with their end
-dates, ``settings.json`` how the dataset is kept. The lists are small and kept by the driver.
+``base/part=P`` and ``delta/file_idx=N`` hold elements with their tile, clustered by tile; ``tiles`` names the tiles of the base and
+the parts that hold them, ``index/...`` the tiles that hold an element or a relation with it as member. ``filelist.json`` names base and
+deltas in order with their end dates, ``settings.json`` how the dataset is kept; these two lists are small and kept by the driver.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.geo import in_box, in_polygon
+from tilewright.functions.geo import tile_meets_ring
 from tilewright.functions.quadtree import overlaps_tile
 from tilewright.operators import overlay
 from tilewright.operators.extract import area_ids, filter_members
-from tilewright.operators.tiling import assign_tiles, clustered
+from tilewright.operators.tiling import clustered
 from tilewright.plans.lineage import cut
 from tilewright.schema import COLUMNS
+from tilewright.sources import files
+
+Box = tuple[int, int, int, int]
 
 
 def _read(root: str, name: str) -> list | dict:
-    with open(os.path.join(root, name), encoding="utf-8") as file:
-        return json.load(file)
+    return json.loads(files.read_text(files.join(root, name)))
 
 
 def _write(root: str, name: str, value: list | dict) -> None:
-    part = os.path.join(root, name + ".new")
-    with open(part, "w", encoding="utf-8") as file:
-        json.dump(value, file)
-    os.replace(part, os.path.join(root, name))
+    files.write_text(files.join(root, name), json.dumps(value))
 
 
 def file_list(root: str) -> list[dict]:
     return _read(root, "filelist.json")
 
 
-def init_snapshot(elements: DataFrame, tiles: DataFrame, root: str, end_date: int, state: int = 0, **settings) -> None:
+def settings(root: str) -> dict:
+    return _read(root, "settings.json")
+
+
+def init_snapshot(elements: DataFrame, tiles: DataFrame, root: str, end_date: int, state: int = 0, **more) -> None:
     """Start a dataset of elements (columns of ``schema.ELEMENT``), clustered by the given tiles; null and -1 keys go to the root."""
+    spark = elements.sparkSession
     keyed = elements.select(*COLUMNS).withColumn("quadtree", F.when(F.col("quadtree") >= 0, F.col("quadtree")).otherwise(F.lit(0)))
-    clustered(keyed, tiles).write.mode("overwrite").parquet(os.path.join(root, "base"))
-    _write(root, "settings.json", {"RoundTime": True, "InitialState": state, **settings})
-    count = elements.sparkSession.read.parquet(os.path.join(root, "base")).select("tile_qt").distinct().count()
+    parted = clustered(keyed, tiles).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "tile_qt", "type", "id")
+    parted.write.mode("overwrite").partitionBy("part").parquet(files.join(root, "base"))
+    base = spark.read.parquet(files.join(root, "base"))
+    base.select("tile_qt", "part").distinct().repartition(1).sortWithinPartitions("tile_qt", "part").write.mode("overwrite").parquet(files.join(root, "tiles"))
+    _write_index(base, files.join(root, "index/base"))
+    _write(root, "settings.json", {"RoundTime": True, "InitialState": state, **more})
+    count = spark.read.parquet(files.join(root, "tiles")).select("tile_qt").distinct().count()
     _write(root, "filelist.json", [{"Filename": "base", "EndDate": end_date, "NumTiles": count, "State": state}])
 
 
-def _files(spark: SparkSession, root: str, as_of: int | None) -> tuple[DataFrame, DataFrame | None]:
+def _write_index(elements: DataFrame, path: str) -> None:
+    """In ranges of ids, so that row groups without any wanted id are skipped."""
+    overlay.id_index(elements, refs=False).repartitionByRange("type", "id", "tile_qt").sortWithinPartitions("type", "id").write.mode("overwrite").parquet(path)
+
+
+def _numbers(root: str, as_of: int | None) -> list[int]:
+    """Numbers of the deltas up to a date."""
     names = [f["Filename"] for f in file_list(root) if as_of is None or f["EndDate"] <= as_of]
     if not names or names[0] != "base":
         raise ValueError("the dataset has no state of that date")
-    base = spark.read.parquet(os.path.join(root, "base"))
-    deltas = None
-    for n in names[1:]:
-        one = spark.read.parquet(os.path.join(root, n)).withColumn("file_idx", F.lit(int(n.rpartition("=")[2])))
-        deltas = one if deltas is None else deltas.unionByName(one)
-    return base, deltas
+    return [int(n.rpartition("=")[2]) for n in names[1:]]
+
+
+def _deltas(spark: SparkSession, root: str, numbers: list[int], folder: str = "delta") -> DataFrame | None:
+    """All deltas of the list as one table with ``file_idx``; of its folders only theirs are read."""
+    if not numbers:
+        return None
+    return spark.read.parquet(files.join(root, folder)).where(F.col("file_idx").isin(numbers))
+
 
+def _of_tiles(spark: SparkSession, root: str, tiles: DataFrame, numbers: list[int]) -> DataFrame:
+    """State of some tiles of the base. Only the parts that hold them are opened: a list of numbers of folders, no longer than that of the folders."""
+    parts = spark.read.parquet(files.join(root, "tiles")).join(tiles, "tile_qt", "left_semi")
+    wanted = [r["part"] for r in parts.select("part").distinct().collect()]
+    base = spark.read.parquet(files.join(root, "base")).where(F.col("part").isin(wanted)).drop("part").join(tiles, "tile_qt", "left_semi")
+    deltas = _deltas(spark, root, numbers)
+    if deltas is None:
+        return base
+    with_root = tiles.union(spark.range(1).toDF("tile_qt")).distinct()
+    return overlay.overlay(base, deltas.join(with_root, "tile_qt", "left_semi"), root=True)
 
-def read_snapshot(spark: SparkSession, root: str, *, box: tuple[int, int, int, int] | None = None, ring: list[tuple[int, int]] | None = None, as_of: int | None = None) -> DataFrame:
-    """Elements with ``tile_qt`` as of a date. With a box, only of tiles that it touches: a filter on the tile, which skips files and row groups.
+
+def read_snapshot(spark: SparkSession, root: str, *, box: Box | None = None, ring: list[tuple[int, int]] | None = None, as_of: int | None = None) -> DataFrame:
+    """Elements with ``tile_qt`` as of a date. With a box, only of tiles that it touches; with a ring, of those that the ring does: the
+    other tiles' files aren't opened.
 
     Raises if no tile is left.
     """
-    base, deltas = _files(spark, root, as_of)
+    numbers = _numbers(root, as_of)
     if box is None and ring is not None:
         xs, ys = zip(*ring)
         box = (min(xs), min(ys), max(xs), max(ys))
     if box is not None:
-        tiles = [r["tile_qt"] for r in base.select("tile_qt").distinct().where(overlaps_tile("tile_qt", *box)).collect()]  # tiles, not rows
-        if not tiles:
+        tiles = spark.read.parquet(files.join(root, "tiles")).select("tile_qt").distinct().where(overlaps_tile("tile_qt", *box))
+        if ring is not None:
+            tiles = tiles.where(tile_meets_ring("tile_qt", ring))
+        if tiles.isEmpty():
             raise ValueError("no tiles match the box")
-        base = base.where(F.col("tile_qt").isin(tiles))
-        deltas = deltas and deltas.where(F.col("tile_qt").isin(0, *tiles))
+        return _of_tiles(spark, root, tiles, numbers)
+    base = spark.read.parquet(files.join(root, "base")).drop("part")
+    deltas = _deltas(spark, root, numbers)
     return base if deltas is None else overlay.overlay(base, deltas, root=True)
 
 
-def update_snapshot(changes: DataFrame, root: str, end_date: int, state: int | None = None) -> dict:
+def tiles_to_read(root: str, newest: DataFrame) -> DataFrame:
+    """Tiles that an update has to read: those that hold what new keys depend on, or relations with such members."""
+    spark = newest.sparkSession
+    index = spark.read.parquet(files.join(root, "index/base"))
+    later = _deltas(spark, root, _numbers(root, None), "index/delta")
+    if later is not None:
+        index = index.unionByName(later.drop("file_idx"))
+    return overlay.tiles_with(index, overlay.ids_to_look_up(newest))
+
+
+def update_snapshot(changes: DataFrame, root: str, end_date: int, state: int | None = None, *, most_missing: int | None = None) -> dict:
     """Add a delta of changes (columns of ``schema.ELEMENT`` and ``file_idx``): new keys and tiles of what they change, and of what hangs on it.
 
-    Written under its own number, so a run that is repeated replaces its own delta. Gives the entry of the file list.
+    Of the dataset only the id index, and the tiles that it names for the changes, are read. Written under its own number, so a
+    run that is repeated replaces its own delta. Where the settings say AllowMissingUsers false, a change without a user is an
+    error. ``most_missing`` as in ``overlay.changed_keys``. Gives the entry of the file list.
     """
     spark = changes.sparkSession
-    files = file_list(root)
-    number = len(files)
-    now = cut(read_snapshot(spark, root), "now")
+    known = file_list(root)
+    number = len(known)
     newest = cut(overlay.newest_changes(changes), "newest")
+    if not settings(root).get("AllowMissingUsers", True) and not newest.where("changetype > 2 and info.user is null").isEmpty():
+        raise ValueError("a change has no user")
+    now = cut(_of_tiles(spark, root, cut(tiles_to_read(root, newest), "tiles"), _numbers(root, None)), "now")
     pick = lambda kind, *columns: now.where(F.col("type") == kind).select("id", "quadtree", *columns)
-    keys = cut(overlay.changed_keys(pick(0, "lon", "lat"), pick(1, "refs"), pick(2, "members"), newest), "changed")
-    tiles = now.select("tile_qt").distinct()
+    keys = cut(overlay.changed_keys(pick(0, "lon", "lat"), pick(1, "refs"), pick(2, "members"), newest, most_missing=most_missing), "changed")
+    tiles = spark.read.parquet(files.join(root, "tiles")).select("tile_qt").distinct()
     placed = overlay.change_tiles(keys, now.select("type", "id", "tile_qt"), tiles)
     content = now.join(newest.select("type", "id"), ["type", "id"], "left_anti").select(*COLUMNS).unionByName(newest.select(*COLUMNS))
     rest = [c for c in COLUMNS if c not in ("changetype", "quadtree")]
     rows = placed.join(content.select(*rest), ["type", "id"], "left").select(*COLUMNS, "tile_qt")
     name = f"delta/file_idx={number}"
-    rows.repartition("tile_qt").sortWithinPartitions("tile_qt", "type", "id").write.mode("overwrite").parquet(os.path.join(root, name))
-    count = spark.read.parquet(os.path.join(root, name)).select("tile_qt").distinct().count()
+    rows.repartition("tile_qt").sortWithinPartitions("tile_qt", "type", "id").write.mode("overwrite").parquet(files.join(root, name))
+    made = spark.read.parquet(files.join(root, name))
+    _write_index(made, files.join(root, f"index/{name}"))
+    count = made.select("tile_qt").distinct().count()
     entry = {"Filename": name, "EndDate": end_date, "NumTiles": count, "State": number if state is None else state}
-    _write(root, "filelist.json", [*files, entry])
+    _write(root, "filelist.json", [*known, entry])
     return entry
 
 
 def drop_last(root: str) -> dict:
     """Take the newest delta away again."""
-    files = file_list(root)
-    if len(files) < 2:
+    known = file_list(root)
+    if len(known) < 2:
         raise ValueError("the dataset has no delta")
-    last = files.pop()
-    _write(root, "filelist.json", files)
-    shutil.rmtree(os.path.join(root, last["Filename"]), ignore_errors=True)
+    last = known.pop()
+    _write(root, "filelist.json", known)
+    for folder in (last["Filename"], f"index/{last['Filename']}"):
+        files.remove(files.join(root, folder))
     return last
 
 
@@ -125,14 +173,3 @@ def compact(spark: SparkSession, root: str, *, box: tuple[int, int, int, int] |
         kept = rows.join(ids, ["type", "id"], "left_semi")
         rows = kept.where("type <> 2").unionByName(filter_members(kept.where("type = 2"), ids).select(kept.columns))
     return rows.orderBy("type", "id") if sort else rows.repartitionByRange("tile_qt", "type", "id").sortWithinPartitions("tile_qt", "type", "id")
-
-
-def in_area(elements: DataFrame, box: tuple[int, int, int, int], ring: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Nodes in a box and ring."""
-    hit = in_box(F.col("lon"), F.col("lat"), box)
-    return elements.where(hit if ring is None else hit & in_polygon(F.col("lon"), F.col("lat"), ring))
-
-
-def retile(elements: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Elements moved to other tiles."""
-    return assign_tiles(elements.drop("tile_qt"), tiles)
