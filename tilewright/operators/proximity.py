@@ -89,6 +89,9 @@ class LeafIndex:
     def leaf(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, _zcode(x, y), side="right") - 1
 
+    def leaf_of(self, lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+        return self.leaf(*_cells(lon, lat))
+
     def touched(self, lon: np.ndarray, lat: np.ndarray, reach_rad: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Own leaf of each point; then (row, leaf) of every further leaf that the box around a point touches."""
         x, y = _cells(lon, lat)
@@ -172,6 +175,26 @@ class PackedRTree:
             yield q[keep], n[keep]
 
 
+    def in_box(self, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Indexes of the points in a closed box."""
+        nodes = np.arange(len(self.levels[-1][0]))
+        for level in range(len(self.levels) - 1, -1, -1):
+            low, high = self.levels[level]
+            nodes = nodes[((low[nodes] <= most) & (high[nodes] >= least)).all(axis=1)]
+            below = len(self.points) if level == 0 else len(self.levels[level - 1][0])
+            nodes = (nodes[:, None] * FANOUT + np.arange(FANOUT)).ravel()
+            nodes = nodes[nodes < below]
+        return nodes[((self.points[nodes] >= least) & (self.points[nodes] <= most)).all(axis=1)]
+
+
+def sampled_leaves(good: DataFrame, total: int, sample_size: int, capacity: int, reach_deg: float) -> LeafIndex:
+    """Leaves laid out by a sample of distinct points (id, lon, lat in degrees): about 8 points for ``capacity`` points, 65 536 at
+    least and ``sample_size`` at most. Rows whose hash lies below a threshold are a uniform sample of the expected size."""
+    wanted = min(sample_size, max(65_536, 8 * total // capacity))
+    sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, wanted / max(1, total)) * (1 << 40))).select("lon", "lat").toArrow()
+    return LeafIndex(sample["lon"].to_numpy(), sample["lat"].to_numpy(), total, capacity, reach_deg)
+
+
 def _unit_vectors(lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     a, b = np.radians(lon), np.radians(lat)
     return np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], axis=1)
@@ -202,10 +225,7 @@ def within_distance(
     good = good.groupBy("id").agg(F.max(F.struct("lon", "lat")).alias("at")).select("id", "at.lon", "at.lat")
     good = cut(good, "points")
     total = good.count()
-    # Rows whose hash lies below a threshold are a uniform sample of the given expected size.
-    wanted = min(sample_size, max(65_536, 8 * total // capacity))
-    sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(min(1.0, wanted / max(1, total)) * (1 << 40))).select("lon", "lat").toArrow()
-    index = LeafIndex(sample["lon"].to_numpy(), sample["lat"].to_numpy(), total, capacity, math.degrees(reach_rad))
+    index = sampled_leaves(good, total, sample_size, capacity, math.degrees(reach_rad))
     chord = 2.0 * math.sin(min(reach_rad, math.pi) / 2.0)
     layout = pa.schema([("task", pa.int64()), ("role", pa.int8()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])
 

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Keys that a sketch of frequent keys keeps for each task, and gives in the end.
+TRACKED, MOST = 8192, 1024
 
-def heavy_keys(df: DataFrame, key: str, *, sample_size: int = 50_000, share: float = 0.005) -> list:
-    """Keys with at least ``share`` of a uniform sample of ``sample_size`` expected rows: about 1/share keys at most.
 
-    The sample is that of row hashes below a threshold. It only decides which keys get salted, never a result.
+def rows_and_heavy_keys(df: DataFrame, key: str, *, share: float = 0.005) -> tuple[int, list]:
+    """Number of rows, and the keys that may hold at least ``share`` of them (null aside): at most MOST.
+
+    One pass that reads only the key: a sketch of frequent keys is kept by each task and merged, so what comes to the driver
+    doesn't grow with the data. The keys only decide what gets salted, never a result.
     """
-    rows = df.count()
-    part = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(1 << 40)) < int(min(1.0, sample_size / max(1, rows)) * (1 << 40))
-    counts = df.where(part).groupBy(F.col(key).alias("k")).count()
-    least = max(2.0, share * min(sample_size, rows))
-    return [r["k"] for r in counts.where((F.col("count") >= least) & F.col("k").isNotNull()).collect()]
+    sketch = F.expr(f"approx_top_k(k, {MOST}, {TRACKED})")
+    row = df.select(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
+    least = max(2.0, share * row["n"])
+    return row["n"], [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] >= least]
+
+
+def heavy_keys(df: DataFrame, key: str, *, share: float = 0.005) -> list:
+    return rows_and_heavy_keys(df, key, share=share)[1]
 
 
 def salted_totals(df: DataFrame, key: str, value: str, *, salts: int = 32, heavy: list | None = None) -> DataFrame:
@@ -29,9 +36,7 @@ def salted_totals(df: DataFrame, key: str, value: str, *, salts: int = 32, heavy
     """
     if heavy is None:
         heavy = heavy_keys(df, key)
-    salt = F.lit(0)
-    if heavy:
-        salt = F.when(F.col(key).isin(heavy) | F.col(key).isNull(), F.floor(F.rand(17) * salts).cast("int")).otherwise(0)
+    salt = F.when(F.col(key).isin(heavy) | F.col(key).isNull() if heavy else F.col(key).isNull(), F.floor(F.rand(17) * salts).cast("int")).otherwise(0)
     parts = df.select(F.col(key).alias("k"), F.col(value).cast("decimal(38,0)").alias("v"), salt.alias("salt")).groupBy("k", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
     merged = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     return merged.select(F.col("k").alias(key), "n", F.col("total").cast("decimal(38,0)").alias("total"))
@@ -39,5 +44,5 @@ def salted_totals(df: DataFrame, key: str, value: str, *, salts: int = 32, heavy
 
 def keys_above_share(df: DataFrame, key: str, value: str, share_percent: int) -> DataFrame:
     """Totals of the keys that hold at least ``share_percent`` % of all rows of ``df`` as stored."""
-    rows = df.count()
-    return salted_totals(df, key, value).where(F.col("n") * 100 >= F.lit(rows) * share_percent)
+    rows, heavy = rows_and_heavy_keys(df, key)
+    return salted_totals(df, key, value, heavy=heavy).where(F.col("n") * 100 >= F.lit(rows) * share_percent)

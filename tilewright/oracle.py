@@ -83,4 +83,45 @@ rows AS (SELECT * FROM acts UNION ALL SELECT id, info.version, 0, 0, coalesce(ch
 SELECT id, v AS version FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(v, -1) DESC, side DESC, file_idx DESC, there DESC) AS nth FROM rows) WHERE nth = 1 AND there
 """
 
-SQL: dict[str, str] = {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_ranges": P3_RANGES, "p5_found": P5, "p5_report": P5_REPORT, "p6_found": P6, "p6_totals": P6_TOTALS, "p7_found": P7}
+P1_REGIONS = f"""
+WITH n AS (SELECT id, lon, lat FROM {current_whole("osm_nodes", "lon lat")} WHERE coalesce(ct NOT IN (1, 2), true) AND abs(lon) <= 1800000000 AND abs(lat) <= 900000000),
+     w AS (SELECT id, refs FROM {current_whole("osm_ways", "refs")} WHERE coalesce(ct NOT IN (1, 2), true) AND len(refs) > 3 AND refs[1] = refs[-1]),
+     p AS (SELECT w.id, pos, n.lon, n.lat FROM (SELECT id, unnest(refs) AS node, generate_subscripts(refs, 1) AS pos FROM w) w LEFT JOIN n ON n.id = w.node),
+     r AS (SELECT id, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1 FROM p GROUP BY id HAVING count(lon) = count(*)),
+     e AS (SELECT id, lon AS ax, lat AS ay, lag(lon) OVER o AS bx, lag(lat) OVER o AS b_y FROM p WHERE id IN (SELECT id FROM r) WINDOW o AS (PARTITION BY id ORDER BY pos)),
+     near AS (SELECT r.id AS region_id, n.id, n.lon, n.lat FROM n JOIN r ON n.lon BETWEEN x0 AND x1 AND n.lat BETWEEN y0 AND y1)
+SELECT region_id, near.id FROM near JOIN e ON e.id = region_id AND (ay > near.lat) <> (b_y > near.lat) AND near.lon < (bx - ax)::DOUBLE * (near.lat - ay) / (b_y - ay) + ax
+GROUP BY ALL HAVING count(*) % 2 = 1
+"""
+
+P2_ATTRIBUTES = """
+WITH s AS (SELECT type, id, snapshot_idx, first_date AS day, max(struct_pack(version := info.version, changeset := info.changeset, user_id := info.user_id, visible := info.visible)) AS a
+           FROM (SELECT *, min(snapshot_date) OVER (PARTITION BY type, id, snapshot_idx) AS first_date, row_number() OVER (PARTITION BY type, id, snapshot_idx ORDER BY info.version DESC NULLS LAST, info.changeset DESC NULLS LAST, info.user_id DESC NULLS LAST, info.visible DESC NULLS LAST) AS nth FROM info_snapshots
+                 WHERE info IS NOT NULL AND type IS NOT NULL AND id IS NOT NULL AND snapshot_idx IS NOT NULL AND snapshot_date IS NOT NULL) WHERE nth = 1 GROUP BY ALL),
+     m AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR a IS DISTINCT FROM lag(a) OVER o THEN 1 ELSE 0 END AS mark FROM s WINDOW o AS (PARTITION BY type, id ORDER BY snapshot_idx)),
+     n AS (SELECT *, sum(mark) OVER (PARTITION BY type, id ORDER BY snapshot_idx) AS island FROM m),
+     g AS (SELECT type, id, island, first(a) AS a, min(day) AS valid_from, count(*) AS snapshots FROM n GROUP BY ALL)
+SELECT type, id, a.version AS version, a.changeset AS changeset, a.user_id AS user_id, a.visible AS visible, valid_from, coalesce(lead(valid_from) OVER (PARTITION BY type, id ORDER BY island), -1) AS valid_to, snapshots FROM g
+"""
+
+_P7_ROWS = """
+acts AS (SELECT id, info.version AS v, 1 AS side, file_idx, changetype AS ct, changetype IN (4, 5) AS there, lon, lat, info.user_id AS user_id FROM osm_changes WHERE type = 0 AND changetype IN (1, 4, 5) AND id IS NOT NULL),
+base AS (SELECT id, info.version AS v, 0 AS side, -1 AS file_idx, 0 AS ct, coalesce(changetype NOT IN (1, 2), true) AS there, lon, lat, info.user_id AS user_id FROM osm_nodes WHERE id IS NOT NULL)
+"""
+
+P7_TABLE = f"""
+WITH {_P7_ROWS}
+SELECT id, v AS version, lon, lat FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(v, -1) DESC, side DESC, file_idx DESC, ct DESC, there DESC, lon DESC NULLS LAST, lat DESC NULLS LAST) AS nth FROM (SELECT * FROM acts UNION ALL SELECT * FROM base)) WHERE nth = 1 AND there
+"""
+
+
+P7_COLUMNS = f"""
+WITH {_P7_ROWS},
+one AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(v, -1) DESC, there DESC, lon DESC NULLS LAST, lat DESC NULLS LAST, user_id DESC NULLS LAST) AS nth FROM base) WHERE nth = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(v, -1) DESC, side DESC, file_idx DESC, ct DESC, lon DESC NULLS LAST, lat DESC NULLS LAST, user_id DESC NULLS LAST) AS nth,
+      dense_rank() OVER (PARTITION BY id ORDER BY coalesce(v, -1) DESC, side DESC, file_idx DESC, ct DESC) AS place FROM (SELECT * FROM acts UNION ALL SELECT * FROM one)),
+c AS (SELECT *, min(place) FILTER (ct <> 4) OVER (PARTITION BY id) AS cleared, first_value(there) OVER (PARTITION BY id ORDER BY nth) AS exists_, first_value(v) OVER (PARTITION BY id ORDER BY nth) AS version FROM r)
+SELECT id, version, {', '.join(f"max(row(-place, {c})) FILTER ({c} IS NOT NULL AND there AND place <= coalesce(cleared, place))[2] AS {c}" for c in ("lon", "lat", "user_id"))} FROM c WHERE exists_ GROUP BY id, version
+"""
+
+SQL: dict[str, str] = {"p1_regions": P1_REGIONS, "p2_attributes": P2_ATTRIBUTES, "p7_table": P7_TABLE, "p7_columns": P7_COLUMNS, "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_ranges": P3_RANGES, "p5_found": P5, "p5_report": P5_REPORT, "p6_found": P6, "p6_totals": P6_TOTALS, "p7_found": P7}

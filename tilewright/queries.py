@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tilewright import element_oracle, element_queries, oracle
 from tilewright.operators.current import current_rows, is_live
 from tilewright.operators.hierarchy import hierarchy
-from tilewright.operators.history import version_history
-from tilewright.operators.patches import final_state
+from tilewright.operators.geometry import ways_with_nodes
+from tilewright.operators.history import attribute_history, version_history
+from tilewright.operators.patches import current_table, final_state, patched_table
 from tilewright.operators.proximity import within_distance
 from tilewright.operators.references import orphan_references
+from tilewright.operators.regions import points_in_regions
 from tilewright.operators.skew import keys_above_share, salted_totals
 
 KINDS = {0: "osm_nodes", 1: "osm_ways", 2: "osm_relations"}
@@ -28,6 +30,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return within_distance(placed.select("id", (F.col("lon") / 1e7).alias("lon"), (F.col("lat") / 1e7).alias("lat")), 5.0)
 
 
+def p1_regions(spark: SparkSession, folder: str) -> DataFrame:
+    """Live nodes inside the areas of closed live ways whose nodes are all there."""
+    nodes = current_rows(table(spark, folder, "osm_nodes"), ["lon", "lat"]).where("live and abs(lon) <= 1800000000 and abs(lat) <= 900000000")
+    ways = current_rows(table(spark, folder, "osm_ways"), ["refs"]).where("live and size(refs) > 3 and refs[0] = element_at(refs, -1)")
+    closed = ways_with_nodes(ways, nodes).where("missing = 0")
+    return points_in_regions(nodes, closed.select(F.col("id").alias("region_id"), F.col("lonlats").alias("ring")))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every visible version of nodes and ways with its validity period."""
     seen = table(spark, folder, "info_snapshots")
@@ -35,6 +45,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return version_history(states, ["type", "id"]).where("visible").drop("visible")
 
 
+def p2_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    """Version, changeset, user and visibility of nodes and ways as the snapshots show them, with the periods by snapshot date."""
+    seen = table(spark, folder, "info_snapshots").where("info is not null")
+    attributes = ["version", "changeset", "user_id", "visible"]
+    states = seen.select("type", "id", "snapshot_idx", "snapshot_date", *[F.col(f"info.{c}").alias(c) for c in attributes])
+    return attribute_history(states, ["type", "id"], "snapshot_idx", "snapshot_date", attributes)
+
+
 def relation_links(spark: SparkSession, folder: str) -> DataFrame:
     """(parent, child) of live relations that contain live relations."""
     live = current_rows(table(spark, folder, "osm_relations"), ["members"]).where("live")
@@ -97,5 +115,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return final_state(changes, table(spark, folder, "osm_nodes")).select("id", "version")
 
 
-QUERIES = element_queries.QUERIES | {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_ranges, p5_found, p5_report, p6_found, p6_totals, p7_found)}
+def p7_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole table of nodes once all changes are applied."""
+    changes = table(spark, folder, "osm_changes").where("type = 0")
+    return current_table(changes, table(spark, folder, "osm_nodes"), ["lon", "lat"])
+
+
+def p7_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where a change leaves the columns that are null in it as they are."""
+    named = lambda t: t.withColumn("user_id", F.col("info.user_id"))
+    changes = named(table(spark, folder, "osm_changes").where("type = 0"))
+    return patched_table(changes, named(table(spark, folder, "osm_nodes")), ["lon", "lat", "user_id"])
+
+
+QUERIES = element_queries.QUERIES | {f.__name__: f for f in (p1_found, p1_regions, p2_found, p2_attributes, p3_found, p3_ranges, p5_found, p5_report, p6_found, p6_totals, p7_found, p7_table, p7_columns)}
 SQL: dict[str, str] = element_oracle.SQL | oracle.SQL
