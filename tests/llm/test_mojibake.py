@@ -1,6 +1,6 @@
 import pytest
 
-from tilewright.llm.mojibake import garbled_documents, restored_documents, undo_utf8
+from tilewright.llm.mojibake import Seen, garbled_documents, restored_documents, undo_utf8
 
 CLEAN = ["Das Gebäude steht über der Straße.", "Le sentier est étroit, déjà signalé – l’allée.", "Граница района идёт через старый памятник.", "Zażółć granicę na mapie, proszę, już łąka.", "ATENÇÃO: IRMÃ, AMANHÃ VEJO O MAPÃO", "“No lock” costs 5 € \U0001f642", "線路の名前を直しました、確認してください。"]
 
@@ -74,3 +74,32 @@ def test_copies_do_not_outnumber_originals(spark):
     assert {r.doc_id for r in garbled_documents(df).collect()} == set(range(9, 129))
     restored = {r.doc_id: r.restored for r in restored_documents(df).collect()}
     assert restored[9] == CLEAN[3] and restored[49] == "Die Straße" and restored[89] == "schön für ñandú 0"
+
+
+def test_entities_of_garbled_characters(spark):
+    garbled = "Stra&Atilde;&#159;e und Geb&#195;&curren;ude &amp; mehr &nbsp; &bogus;"
+    df = frame(spark, [*corpus(), garbled, "Stra&szlig;e &amp; &eacute;t&eacute; &nbsp;", "a &lt; b &amp; c"])
+    first = len(corpus())
+    assert {r.doc_id for r in garbled_documents(df).collect()} == {first}
+    assert [r.restored for r in restored_documents(df).collect()] == ["Straße und Gebäude &amp; mehr &nbsp; &bogus;"]
+
+
+def test_words_that_are_rare(spark):
+    """Every distinct clean word is in the table: two rare ones under one chain are proof, in any number of documents."""
+    clean = ["памятник границы"] * 2 + ["памятник границы здесь", "другой памятник границы"]
+    df = frame(spark, [*clean, "памятник границы".encode("koi8-r").decode("cp1251"), "ПАМЯТНИК"])
+    assert {r.doc_id for r in garbled_documents(df).collect()} == {4}
+
+
+def test_map_of_tokens(spark):
+    words = ["é", "Straße", "☃" * 50, *map(str, range(500))]
+    df = spark.createDataFrame([(w,) for w in words], "token string")
+    held = Seen.of(df, len(words))
+    assert all(held.may_have(w) for w in words)
+    assert sum(held.may_have(f"x{k}") for k in range(2000)) < 200
+    assert not Seen.of(df.limit(0), 0).may_have("é")
+
+
+def test_documents_without_an_id_are_told_apart(spark):
+    df = spark.createDataFrame([(None, "fÃ¼r"), (None, "fÃ¼r"), (None, "grÃ¼n"), (None, "für grün")] + [(k, "für grün") for k in range(9)], "doc_id bigint, text string")
+    assert [r.doc_id for r in garbled_documents(df).collect()] == [None, None]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.plans.lineage import cut
+from tilewright.plans.lineage import cut, task_count
 
 #: Encodings with one byte a character that texts are written in or wrongly decoded with.
 SINGLE_BYTE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso8859-5", "cp866", "mac_roman", "cp437", "cp850", "iso8859-15", "cp1254", "cp852"]
@@ -24,6 +27,11 @@ LEAST_RATIO = 4
 TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 LETTERS = re.compile(r"[^\W_]+")
 FOREIGN = re.compile(r"[\x80-\U0010ffff]+")
+ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][0-9A-Za-z]{1,30});")
+#: A token in which characters may be written as entities.
+ESCAPED = re.compile(rf"(?:[0-9A-Za-z\x80-\U0010ffff]|{ENTITY.pattern})+")
+#: Bits of the map of tokens that occur: 32 for each token, within these powers of 2 (4 KB to 32 MB).
+LEAST_BITS, MOST_BITS = 15, 28
 
 
 _tables: dict[str, list[str]] = {}
@@ -134,10 +142,29 @@ def garbled_words(word: str) -> Iterator[tuple[str, str]]:
     data = word.encode()
     for target in DOUBLE_BYTE:
         yield data.decode(target, "replace"), f"utf-8>{target}"
+    for target in SINGLE_BYTE:
+        once = _wrongly(data, target)
+        yield once, f"utf-8>{target}"
+        yield "".join(x for x in once if not "\x80" <= x <= "\x9f"), f"utf-8>{target}"
+        if target in TWICE:
+            for last in TWICE:
+                yield _wrongly(once.encode(), last), f"utf-8>{target}>utf-8>{last}"
+
+
+def unescaped(text: str) -> str:
+    """``text`` with the entities of non-ASCII characters replaced by these; others stay, as do names that mean nothing."""
+    if "&" not in text:
+        return text
+
+    def one(match: re.Match) -> str:
+        c = html.unescape(match.group())
+        return match.group() if c == match.group() or c.isascii() else c
+
+    return ENTITY.sub(one, text)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens (t), non-ASCII characters (c) and garbled pieces (p) of every text that isn't plain ASCII.
+    """Distinct tokens (t), non-ASCII characters (c) and garbled pieces (p) of every text that has a non-ASCII character, entities included.
 
     Pieces of a run that can be undone as a whole and has a sign come out as (s) too. ``copy`` is equal for equal texts.
     """
@@ -145,8 +172,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, copy, text in zip(batch.column("row_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text")):
-            text = text.as_py()
-            if not text or text.isascii():
+            text = unescaped(text.as_py() or "")
+            if text.isascii():
                 continue
             found: dict[tuple[str, str], None] = {}
             for token in set(TOKEN.findall(text)):
@@ -187,77 +214,133 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in numbers else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Garbled forms of clean words and characters."""
+class Seen:
+    """Map of the hashes of tokens, in bits: a token that it lacks doesn't occur; one that it has may."""
+
+    def __init__(self, bits: int, parts: dict[int, bytes]):
+        self.mask = (1 << bits) - 1
+        self.map = np.zeros(1 << max(0, bits - 3), np.uint8)
+        for at, part in parts.items():
+            self.map[at * 4096 : at * 4096 + len(part)] = np.frombuffer(part, np.uint8)
+
+    @classmethod
+    def of(cls, tokens: DataFrame, count: int) -> Seen:
+        """The map of the column ``token``. It is made by the cluster in parts of 4 KB; all parts together are bounded by MOST_BITS."""
+        bits = min(MOST_BITS, max(LEAST_BITS, (32 * max(1, count) - 1).bit_length()))
+        at = F.xxhash64("token").bitwiseAND(F.lit((1 << bits) - 1))
+        parts = tokens.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
+        return cls(bits, {r["part"]: bytes(r["map"]) for r in parts.toLocalIterator()})
+
+    def may_have(self, token: str) -> bool:
+        at = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), seed=42) & self.mask
+        return bool(self.map[at >> 3] >> (at & 7) & 1)
+
+
+FORM_COLUMNS = ["kind", "form", "original", "chain", "original_docs", "original_texts"]
+
+
+def _character_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Garbled forms of clean characters."""
     for batch in batches:
         rows: dict[tuple, None] = {}
-        for kind, token, docs, texts in zip(*(batch.column(c).to_pylist() for c in ("kind", "token", "docs", "texts"))):
-            if kind == "c":
-                for form in garbled_characters(token):
-                    if form != token:
-                        rows["p", form, token, "utf-8", docs, texts] = None
-                        rows["s", form, token, "utf-8", docs, texts] = None
-                continue
-            if not all(c < "\x80" or _is_mark(c) for c in token):
-                continue
-            for form, chain in garbled_words(token):
-                if form == token or form.isascii() or not form.strip(LOST):
-                    continue
-                # bytes of a double-byte character may be ASCII and end a token; long parts stand for the whole
-                parts = [form] if TOKEN.fullmatch(form) else [r for r in FOREIGN.findall(form) if len(r) > 3]
-                for part in parts:
-                    rows["t", part, token, chain, docs, texts] = None
-            if len(rows) > 50_000:
-                yield _batch(list(rows), ["kind", "form", "original", "chain", "original_docs", "original_texts"])
-                rows = {}
+        for token, docs, texts in zip(*(batch.column(c).to_pylist() for c in ("token", "docs", "texts"))):
+            for form in garbled_characters(token):
+                if form != token:
+                    rows["p", form, token, "utf-8", docs, texts] = None
+                    rows["s", form, token, "utf-8", docs, texts] = None
         if rows:
-            yield _batch(list(rows), ["kind", "form", "original", "chain", "original_docs", "original_texts"])
+            yield _batch(list(rows), FORM_COLUMNS)
+
+
+def _word_forms(seen) -> Callable:
+    """Garbled forms of clean words that may occur: the others would find no partner in the join."""
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = seen.value
+        for batch in batches:
+            rows: dict[tuple, None] = {}
+            for token, docs, texts in zip(*(batch.column(c).to_pylist() for c in ("token", "docs", "texts"))):
+                if not all(c < "\x80" or _is_mark(c) for c in token):
+                    continue
+                for form, chain in garbled_words(token):
+                    if form == token or form.isascii() or not form.strip(LOST):
+                        continue
+                    # bytes of a double-byte character may be ASCII and end a token; long parts stand for the whole
+                    parts = [form] if TOKEN.fullmatch(form) else [r for r in FOREIGN.findall(form) if len(r) > 3]
+                    for part in parts:
+                        if held.may_have(part):
+                            rows["t", part, token, chain, docs, texts] = None
+                if len(rows) > 50_000:
+                    yield _batch(list(rows), FORM_COLUMNS)
+                    rows = {}
+            if rows:
+                yield _batch(list(rows), FORM_COLUMNS)
+
+    return forms
+
+
+#: Words that a task of the form table takes: each has some 150 forms.
+WORDS_A_TASK = 2_000
 
 
 def _evidence(documents: DataFrame, least_ratio: int) -> DataFrame:
-    """(doc_id, kind, form, original, chain) of the confirmed garbled forms in documents."""
+    """(doc_id, lone, kind, form, original, chain, sure) of the confirmed garbled forms in documents."""
+    spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("bigint").alias("row_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
     tokens = cut(rows.mapInArrow(_tokens, "row_id bigint, copy bigint, kind string, token string"), "tokens")
     counts = cut(tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("copy").alias("texts")), "counts")
-    clean = counts.where((F.col("kind") == "c") | ((F.col("kind") == "t") & (F.col("docs") >= least_ratio)))
-    spread = clean.repartition(2 * documents.sparkSession.sparkContext.defaultParallelism, "token")
-    forms = spread.mapInArrow(_forms, "kind string, form string, original string, chain string, original_docs bigint, original_texts bigint")
-    seen = counts.where("kind in ('t', 'p', 's')").withColumnRenamed("token", "form")
-    ratio = F.when(F.col("kind") == "t", least_ratio).otherwise(1)
+    words = counts.where("kind = 't'")
+    distinct = words.count()
+    seen = spark.sparkContext.broadcast(Seen.of(words, distinct))
+    schema = "kind string, form string, original string, chain string, original_docs bigint, original_texts bigint"
+    forms = counts.where("kind = 'c'").mapInArrow(_character_forms, schema).unionByName(words.repartition(task_count(spark, distinct, WORDS_A_TASK), "token").mapInArrow(_word_forms(seen), schema))
+    found = counts.where("kind in ('t', 'p', 's')").withColumnRenamed("token", "form")
+    utf8 = F.col("chain").startswith("utf-8")
+    ratio = F.when((F.col("kind") == "t") & ~utf8, least_ratio).otherwise(1)
     # a garbled text that is copied often outnumbers its originals by documents, but not by distinct texts
     enough = (F.col("original_docs") >= F.col("docs") * ratio) | (F.col("original_texts") >= F.col("texts") * ratio)
     # nor may copies of a garbled text make its forms the originals of the words
     enough = enough & ((F.col("kind") != "t") | (F.col("original_texts") >= F.col("texts")))
-    confirmed = forms.join(seen, ["kind", "form"]).where(enough | (F.col("kind") == "s") | (F.col("form") == LOST))
-    # of several originals of a form under one chain the most frequent, then the smallest
-    best = confirmed.groupBy("kind", "form", "chain").agg(F.min(F.struct((-F.col("original_docs")).alias("n"), "original")).alias("best"), (F.min("original") == F.max("original")).alias("sure"))
+    # a rarer word is still some evidence, if it is in more texts than its form
+    some = (F.col("kind") == "t") & (F.col("original_texts") > F.col("texts"))
+    sure = enough | (F.col("kind") == "s") | (F.col("form") == LOST)
+    confirmed = forms.join(found, ["kind", "form"]).where(sure | some).withColumn("sure", sure)
+    # of several originals of a form under one chain the surest, the most frequent, then the smallest
+    best = confirmed.groupBy("kind", "form", "chain").agg(F.min(F.struct((~F.col("sure")).alias("unsure"), (-F.col("original_docs")).alias("n"), "original")).alias("best"), (F.min("original") == F.max("original")).alias("one"))
     # a form with lost characters that several words fit proves the damage, but stays as it is
-    best = best.select("kind", "form", "chain", F.when(F.col("sure") | ~F.col("form").contains(LOST), F.col("best.original")).otherwise(F.col("form")).alias("original"))
-    return tokens.select(F.col("row_id").alias("doc_id"), "kind", F.col("token").alias("form")).join(best, ["kind", "form"])
+    best = best.select("kind", "form", "chain", (~F.col("best.unsure")).alias("sure"), F.when(F.col("one") | ~F.col("form").contains(LOST), F.col("best.original")).otherwise(F.col("form")).alias("original"))
+    # documents without an id are told apart by their text
+    lone = F.when(F.col("row_id").isNull(), F.col("copy")).otherwise(0)
+    return tokens.select(F.col("row_id").alias("doc_id"), lone.alias("lone"), "kind", F.col("token").alias("form")).join(best, ["kind", "form"])
 
 
 def garbled_documents(documents: DataFrame, *, least_ratio: int = LEAST_RATIO) -> DataFrame:
     """(doc_id, pairs) of the documents with garbled text; ``pairs`` are (form, original, kind) to substitute.
 
-    ``documents``: ``doc_id`` bigint, ``text``. Null, empty and pure ASCII texts are clean. One row per doc_id; rows
-    that share one (null is one too) are judged together. Other columns are ignored.
+    ``documents``: ``doc_id`` bigint, ``text``. Null and empty texts are clean, ASCII texts too unless entities (``&Atilde;``) stand
+    for other characters, which are read as these. One row per doc_id; rows that share one are judged together, those without
+    one by their text. Other columns are ignored.
 
-    The forms that every distinct word in at least ``least_ratio`` documents, and every distinct character, would take
-    under all chains of encodings are a table; documents' tokens are joined to it by hash. A word is the original of a
-    form only if it is in ``least_ratio`` times as many documents, which keeps foreign words that are meant. Garbled
-    UTF-8 is matched by character, which must occur clean: in any document, where the run that is undone has a sign that words
+    The forms that every distinct word and character would take under all chains of encodings are a table; of the forms of words only those
+    that a map of all tokens may hold are kept (the join drops the others anyway). Documents' tokens are joined to it by hash.
+    A word proves a form of a one-byte encoding if it is in ``least_ratio`` times as many documents, which keeps foreign words
+    that are meant; one in more distinct texts than the form counts for half. Garbled UTF-8 is matched by word, which must be in as
+    many documents, and, since names and rare words have no clean twin, by character too, which must occur clean: in any document,
+    where the run that is undone has a sign that words
     are not written with; else in as many documents as the form, since words can look like UTF-8 by chance ("так" in
     cp866). All of these comparisons hold if they do by documents or by distinct texts, so copies can't outnumber
     originals; a word must be in at least as many distinct texts as its form. Forms of one-byte encodings count as proof only
     together: two words of two foreign characters, or of one among three characters, under one chain, or one word of three.
     """
     foreign = F.length(F.regexp_replace("form", r"[\x00-\x7f]", ""))
-    alone = F.when(foreign >= 3, 2).when((foreign == 2) | (F.length("form") >= 3), 1).otherwise(0)
-    strength = F.when(F.col("kind").isin("p", "s") | F.col("form").contains(LOST), 9).otherwise(alone)
+    alone = F.when(foreign >= 3, 4).when((foreign == 2) | (F.length("form") >= 3), 2).otherwise(0)
+    alone = F.when(F.col("sure"), alone).otherwise((alone / 2).cast("int"))
+    certain = F.col("kind").isin("p", "s") | (F.col("sure") & F.col("form").contains(LOST)) | (F.col("sure") & F.col("chain").startswith("utf-8") & (foreign >= 3))
+    strength = F.when(certain, 9).otherwise(alone)
     found = _evidence(documents, least_ratio).withColumn("strength", strength)
-    by_chain = found.groupBy("doc_id", "chain").agg(F.collect_set(F.struct("form", "original", "kind", "strength")).alias("pairs"))
-    proven = by_chain.where(F.aggregate("pairs", F.lit(0), lambda n, p: n + p["strength"]) >= 2)
-    return proven.groupBy("doc_id").agg(F.flatten(F.collect_list(F.transform("pairs", lambda p: F.struct(p["form"].alias("form"), p["original"].alias("original"), p["kind"].alias("kind"))))).alias("pairs"))
+    by_chain = found.groupBy("doc_id", "lone", "chain").agg(F.collect_set(F.struct("form", "original", "kind", "strength")).alias("pairs"))
+    proven = by_chain.where(F.aggregate("pairs", F.lit(0), lambda n, p: n + p["strength"]) >= 4)
+    return proven.groupBy("doc_id", "lone").agg(F.flatten(F.collect_list(F.transform("pairs", lambda p: F.struct(p["form"].alias("form"), p["original"].alias("original"), p["kind"].alias("kind"))))).alias("pairs")).drop("lone")
 
 
 def _undone(run: str, pieces: set[str]) -> str | None:
@@ -278,7 +361,7 @@ def _undone(run: str, pieces: set[str]) -> str | None:
 
 
 def restore(text: str, pairs: list[dict]) -> str:
-    """``text`` with the garbled forms of ``pairs`` replaced by their originals."""
+    """``text`` with the garbled forms of ``pairs`` replaced by their originals. Entities stay where nothing is garbled."""
     pieces = {p["form"]: p["original"] for p in pairs if p["kind"] in "ps" and p["form"] != LOST}
     words = {p["form"]: p["original"] for p in pairs if p["kind"] == "t"}
     known = set(pieces)
@@ -287,16 +370,21 @@ def restore(text: str, pairs: list[dict]) -> str:
         run = match.group()
         return _undone(run, known) or pieces.get(run) or words.get(run) or run
 
+    def mended(token: str) -> str:
+        out = FOREIGN.sub(foreign, token)
+        if out != token:
+            return out
+        return words.get(token) or LETTERS.sub(lambda w: words.get(w.group(), w.group()), token)
+
     def token(match: re.Match) -> str:
         whole = match.group()
-        if whole.isascii():
+        plain = unescaped(whole)
+        if plain.isascii():
             return whole
-        mended = FOREIGN.sub(foreign, whole)
-        if mended != whole:
-            return mended
-        return words.get(whole) or LETTERS.sub(lambda w: words.get(w.group(), w.group()), whole)
+        out = TOKEN.sub(lambda m: m.group() if m.group().isascii() else mended(m.group()), plain)
+        return whole if out == plain else out
 
-    return TOKEN.sub(token, text)
+    return ESCAPED.sub(token, text)
 
 
 def restored_documents(documents: DataFrame, *, least_ratio: int = LEAST_RATIO) -> DataFrame:
