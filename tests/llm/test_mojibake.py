@@ -1,6 +1,9 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tilewright.llm.mojibake import Seen, garbled_documents, restored_documents, undo_utf8
+from tilewright.llm.mojibake import garbled_documents, restored_documents, undo_utf8
+from tilewright.llm.seen import Seen, hash_of
 
 CLEAN = ["Das Gebäude steht über der Straße.", "Le sentier est étroit, déjà signalé – l’allée.", "Граница района идёт через старый памятник.", "Zażółć granicę na mapie, proszę, już łąka.", "ATENÇÃO: IRMÃ, AMANHÃ VEJO O MAPÃO", "“No lock” costs 5 € \U0001f642", "線路の名前を直しました、確認してください。"]
 
@@ -93,9 +96,13 @@ def test_words_that_are_rare(spark):
 
 def test_map_of_tokens(spark):
     words = ["é", "Straße", "☃" * 50, *map(str, range(500))]
-    df = spark.createDataFrame([(w,) for w in words], "token string")
+    df = spark.createDataFrame([(w,) for w in words], "token string").select(F.xxhash64("token").alias("h"))
     held = Seen.of(df, len(words))
     assert all(held.may_have(w) for w in words)
+    hashes = np.array([hash_of(w) for w in words], np.uint64).astype(np.int64)
+    assert held.may_have_all(hashes).all() and set(hashes.tolist()) == {r.h for r in df.collect()}
+    few = Seen.of(df, len(words), most_bits=15)
+    assert few.may_have_all(hashes).all() and len(few.map) == 4096
     assert sum(held.may_have(f"x{k}") for k in range(2000)) < 200
     assert not Seen.of(df.limit(0), 0).may_have("é")
 

@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.seen import Seen, hash_of
+from tilewright.plans.lineage import cut
+
 #: Markup tags and character entities, which count as blanks.
 NOISE = re.compile(r"</?[^\W\d_][^<>]*>|\[/?[^\W\d_][^\[\]]*\]|&#?[0-9A-Za-z]{1,10};")
 WORD = re.compile(r"[^\W_]+")
 #: Words of a seed, and of the window that must hold one.
 SEED, WINDOW = 6, 13
-#: Test items handled at a time; what is sent to the executors is bounded by so many items' words.
-ITEMS_A_BLOCK = 20_000
-#: The same where documents are compared with every item, and the items and words of a part of it that has its own tables.
+#: Test items handled at a time where documents are compared with every item; what is sent to the executors is bounded by so many items'
+#: words. The items and words of a part of them that has its own tables.
 COMPARED_A_BLOCK, ITEMS_A_PART, WORDS_A_PART = 2_000, 256, 65_536
 MATCH, MISMATCH, GAP = 2, -1, -1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -28,46 +30,42 @@ def words_of(text: str | None) -> list[str]:
     return [w.casefold() for w in WORD.findall(NOISE.sub(" ", text))] if text else []
 
 
-def _seed_keys(codes: np.ndarray) -> np.ndarray:
-    """A key of the SEED words at each position (int64); -1 where a word has no code."""
-    n = len(codes) - SEED + 1
+_hashes: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    out = _hashes.get(word)
+    if out is None:
+        if len(_hashes) > 1_000_000:
+            _hashes.clear()
+        n = hash_of(word)
+        out = _hashes[word] = n - (1 << 64) if n >> 63 else n
+    return out
+
+
+def _seed_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key of the SEED words from each position on (int64); fewer words have none."""
+    n = len(hashes) - SEED + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
+    key, words = np.zeros(n, np.uint64), hashes.view(np.uint64)
     for k in range(SEED):
-        part = codes[k : k + n]
-        key = (key ^ (part + 1).astype(np.uint64)) * _ODD
+        key = (key ^ words[k : k + n]) * _ODD
         key ^= key >> np.uint64(29)
-        known &= part >= 0
-    return np.where(known, (key >> np.uint64(1)).astype(np.int64), -1)
+    return key.view(np.int64)
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), kind))
 
 
 class ItemBlock:
-    """Word codes of a block of items, the keys of all their word n-grams, and the rare ones chosen as seeds."""
+    """Word codes of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.code: dict[str, int] = {}
         self.items = [(i, np.array([self.code.setdefault(w, len(self.code)) for w in words_of(text)], np.int64)) for i, text in items]
-        at = [_seed_keys(words) for _, words in self.items]
-        self.keys = np.unique(np.concatenate([*at, np.empty(0, np.int64)]))  # items' words all have codes
-        self._at = at
-
-    def choose(self, counts: np.ndarray) -> None:
-        """Take the n-gram rarest in the corpus of every WINDOW consecutive words (of the item, if it is shorter)."""
-        pairs = set()
-        for nth, keys in enumerate(self._at):
-            n = counts[np.searchsorted(self.keys, keys)]
-            width = min(WINDOW - SEED + 1, len(keys))
-            best = -1
-            for lo in range(len(keys) - width + 1 if width else 0):
-                least = lo + width - 1 - int(np.argmin(n[lo : lo + width][::-1]))
-                if best < lo or n[least] < n[best]:  # of equals one serves as many windows as it can
-                    best = least
-                    pairs.add((int(keys[best]), nth))
-        ordered = sorted(pairs)
-        self.seed_keys = np.array([k for k, _ in ordered], np.int64)
-        self.seed_items = np.array([nth for _, nth in ordered], np.int64)
-        self._at = []
 
     def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the words of all texts, each text followed by SEED words without a code; where each text starts."""
@@ -118,26 +116,6 @@ SOME = 256
 TOGETHER, CELLS = 64, 1_000_000
 
 
-def _count_keys(block: ItemBlock):
-    keys = block.keys
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for lo in range(0, batch.num_rows if len(keys) else 0, SOME):
-                codes, starts = block.codes(batch.column("text").slice(lo, SOME))
-                found = _seed_keys(codes)
-                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                places = np.flatnonzero(keys[at] == found)
-                docs = np.searchsorted(starts, places, side="right") - 1
-                once = np.unique(docs * len(keys) + at[places]) % len(keys)
-                seen += np.bincount(once, minlength=len(keys))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["nth", "n"])
-
-    return count
-
-
 def _spans(places: list[int], width: int) -> list[tuple[int, int]]:
     """Stretches around seeds: a passage that holds a seed lies within the item's length of it."""
     out: list[tuple[int, int]] = []
@@ -172,30 +150,6 @@ def _rows(best: dict[tuple, tuple[int, int]], items: list[tuple[int, np.ndarray]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "score", "run", "item_words"])
 
 
-def _find(block: ItemBlock):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, owners, items = block.seed_keys, block.seed_items, block.items
-        for batch in batches:
-            jobs: list[tuple] = []  # doc_id, item, passage; those of a pair stand together
-            for lo in range(0, batch.num_rows if len(seeds) else 0, SOME):
-                doc_ids = batch.column("doc_id").slice(lo, SOME).to_pylist()
-                codes, starts = block.codes(batch.column("text").slice(lo, SOME))
-                keys = _seed_keys(codes)
-                first, last = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
-                hits: dict[tuple[int, int], list[int]] = {}
-                for at in np.flatnonzero(last > first).tolist():
-                    doc = int(np.searchsorted(starts, at, side="right")) - 1
-                    for nth in owners[first[at] : last[at]].tolist():
-                        hits.setdefault((doc, nth), []).append(at - int(starts[doc]))
-                for (doc, nth), places in hits.items():
-                    words = codes[starts[doc] : starts[doc + 1] - SEED]
-                    jobs.extend(((lo + doc, doc_ids[doc], nth), words[a:b]) for a, b in _spans(places, len(items[nth][1])))
-            if jobs:
-                yield _rows(_scores(jobs, items), items)
-
-    return find
-
-
 class ItemPart:
     """Which words, and which pairs of consecutive words, each item of a part has: tables with a row for each of them."""
 
@@ -325,27 +279,107 @@ def _by_block(documents: DataFrame, items: DataFrame, size: int, run) -> DataFra
     return found
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+ITEM_WORDS = "item_id bigint, words array<bigint>, keys array<bigint>"
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [np.array([_hash(w) for w in words_of(t.as_py())], np.int64) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), _lists(words, pa.int64()), _lists([_seed_keys(w) for w in words], pa.int64())], names=["item_id", "words", "keys"])
+
+
+def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every WINDOW consecutive words of an item (of the item, if it is shorter) the n-gram rarest in the corpus; of equals one
+    serves as many windows as it can. One that is in no document is no seed: neither is a window with it."""
+    for batch in batches:
+        items, seeds = [], []
+        for item, grams in zip(batch.column("item_id").to_pylist(), batch.column("grams")):
+            flat = grams.values
+            keys, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n"))
+            width = min(WINDOW - SEED + 1, len(keys))
+            best, chosen = -1, set()
+            for lo in range(len(keys) - width + 1):
+                least = lo + width - 1 - int(np.argmin(n[lo : lo + width][::-1]))
+                if best < lo or n[least] < n[best]:
+                    best = least
+                    if n[best]:
+                        chosen.add(int(keys[best]))
+            items += [item] * len(chosen)
+            seeds += chosen
+        yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(seeds, pa.int64())], names=["item_id", "key"])
+
+
+HELD = "doc_id bigint, words array<bigint>, keys array<bigint>, places array<int>"
+
+
+def _scan(seen):
+    """Words of the documents that may hold n-grams of items, with these n-grams and their places."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = seen.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SOME):
+                ids = batch.column("doc_id").slice(lo, SOME)
+                flat: list[int] = []
+                ends = [0]
+                for text in batch.column("text").slice(lo, SOME):
+                    flat += [_hash(w) for w in words_of(text.as_py())]
+                    ends.append(len(flat))
+                words, ends = np.array(flat, np.int64), np.array(ends)
+                keys = _seed_keys(words)
+                at = np.flatnonzero(held.may_have_all(keys))
+                doc = np.searchsorted(ends, at, side="right") - 1
+                whole = at + SEED <= ends[doc + 1]
+                at, doc = at[whole], doc[whole]
+                if not len(at):
+                    continue
+                which, first = np.unique(doc, return_index=True)
+                parts = np.split(at, first[1:])
+                out = [ids.take(pa.array(which)), _lists([words[ends[d] : ends[d + 1]] for d in which], pa.int64()), _lists([keys[p] for p in parts], pa.int64()), _lists([p - ends[d] for d, p in zip(which, parts)], pa.int32())]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "words", "keys", "places"])
+
+    return scan
+
+
+def _align_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc_ids, item_ids, places = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "places"))
+        items = [(i, w.values.to_numpy()) for i, w in zip(item_ids, batch.column("item"))]
+        jobs = []
+        for k, words in enumerate(batch.column("words")):
+            flat = words.values.to_numpy()
+            jobs.extend(((k, doc_ids[k], k), flat[a:b]) for a, b in _spans(sorted(places[k]), len(items[k][1])))
+        if jobs:
+            yield _rows(_scores(jobs, items), items)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, *, most_bits: int | None = None) -> DataFrame:
     """(doc_id, item_id, score, run, item_words) of each document and item that share a seed.
 
     ``documents``: ``doc_id, text``; ``items``: ``item_id, text``. ``score`` is that of the best Smith-Waterman alignment of
     their words (2 for equal words, -1 for a changed, missing or added one), ``run`` the longest run of equal
     consecutive words. Null and empty texts share nothing; items of fewer than SEED words have no seed. Copied
-    documents each come out; copied rows of one item come out once. Other columns are ignored.
-
-    All n-grams of SEED words of the items are counted over the whole corpus. The rarest of every WINDOW consecutive
-    words of an item are its seeds, so every run of WINDOW words has one. Seeds join passages to items, and each
-    joined passage is aligned as far as the item's length reaches. Items go in blocks of ITEMS_A_BLOCK. This is whole for
-    runs of WINDOW words only: copies edited more often have no seed where the rarest n-gram is in no document.
+    documents each come out, those without an id too; copied rows of one item come out once. Other columns are ignored.
+
+    All n-grams of SEED words of the items are a table. One scan of the corpus keeps the documents with n-grams that a map of these
+    (bounded, see ``seen``) may have; a join with the table counts the n-grams over the whole corpus. The rarest of every WINDOW
+    consecutive words of an item are its seeds, so every run of WINDOW words has one. Seeds are joined to the kept n-grams by hash,
+    and each joined passage is aligned as far as the item's length reaches. The number of scans and what the driver holds don't grow with the
+    items. This is whole for runs of WINDOW words; copies edited more often have no seed where the rarest n-gram is in
+    no document (``edited_items`` has no seeds). Words are compared by 64-bit hashes.
     """
-
-    def run(texts: DataFrame, some: list[tuple[int, str]]) -> DataFrame:
-        held = ItemBlock(some)
-        counted = texts.select("text").mapInArrow(_count_keys(held), "nth bigint, n bigint").groupBy("nth").agg(F.sum("n").alias("n"))
-        counts = np.zeros(max(1, len(held.keys)), np.int64)
-        for row in counted.toLocalIterator():
-            counts[row["nth"]] = row["n"]
-        held.choose(counts)
-        return texts.mapInArrow(_find(held), FOUND)
-
-    return _by_block(documents, items, ITEMS_A_BLOCK, run)
+    spark = documents.sparkSession
+    one = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").groupBy("item_id").agg(F.max("text").alias("text"))
+    tested = cut(one.mapInArrow(_item_words, ITEM_WORDS), "items")
+    grams = tested.select("item_id", F.posexplode("keys").alias("pos", "key"))
+    distinct = cut(grams.select("key").distinct(), "keys")
+    seen = spark.sparkContext.broadcast(Seen.of(distinct.select(F.col("key").alias("h")), distinct.count(), most_bits=most_bits))
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    held = cut(texts.mapInArrow(_scan(seen), HELD).withColumn("row", F.monotonically_increasing_id()), "held")
+    hits = held.select("row", F.explode(F.arrays_zip("keys", "places")).alias("h")).select("row", F.col("h.keys").alias("key"), F.col("h.places").alias("place"))
+    counts = held.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = grams.join(counts, "key", "left").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "key", F.coalesce("n", F.lit(0)).alias("n")))).alias("grams"))
+    seeds = counted.mapInArrow(_choose, "item_id bigint, key bigint")
+    pairs = hits.join(seeds, "key").groupBy("row", "item_id").agg(F.collect_list("place").alias("places"))
+    met = pairs.join(tested.select("item_id", F.col("words").alias("item")), "item_id").join(held.select("row", "doc_id", "words"), "row")
+    return met.select("doc_id", "item_id", "places", "words", "item").mapInArrow(_align_pairs, FOUND)

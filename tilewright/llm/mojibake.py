@@ -7,12 +7,11 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.seen import Seen
 from tilewright.plans.lineage import cut, task_count
 
 #: Encodings with one byte a character that texts are written in or wrongly decoded with.
@@ -30,8 +29,6 @@ FOREIGN = re.compile(r"[\x80-\U0010ffff]+")
 ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][0-9A-Za-z]{1,30});")
 #: A token in which characters may be written as entities.
 ESCAPED = re.compile(rf"(?:[0-9A-Za-z\x80-\U0010ffff]|{ENTITY.pattern})+")
-#: Bits of the map of tokens that occur: 32 for each token, within these powers of 2 (4 KB to 32 MB).
-LEAST_BITS, MOST_BITS = 15, 28
 
 
 _tables: dict[str, list[str]] = {}
@@ -214,28 +211,6 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in numbers else pa.string()) for n, c in zip(names, zip(*rows))], names=names)
 
 
-class Seen:
-    """Map of the hashes of tokens, in bits: a token that it lacks doesn't occur; one that it has may."""
-
-    def __init__(self, bits: int, parts: dict[int, bytes]):
-        self.mask = (1 << bits) - 1
-        self.map = np.zeros(1 << max(0, bits - 3), np.uint8)
-        for at, part in parts.items():
-            self.map[at * 4096 : at * 4096 + len(part)] = np.frombuffer(part, np.uint8)
-
-    @classmethod
-    def of(cls, tokens: DataFrame, count: int) -> Seen:
-        """The map of the column ``token``. It is made by the cluster in parts of 4 KB; all parts together are bounded by MOST_BITS."""
-        bits = min(MOST_BITS, max(LEAST_BITS, (32 * max(1, count) - 1).bit_length()))
-        at = F.xxhash64("token").bitwiseAND(F.lit((1 << bits) - 1))
-        parts = tokens.select(F.shiftright(at, 15).alias("part"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
-        return cls(bits, {r["part"]: bytes(r["map"]) for r in parts.toLocalIterator()})
-
-    def may_have(self, token: str) -> bool:
-        at = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"), seed=42) & self.mask
-        return bool(self.map[at >> 3] >> (at & 7) & 1)
-
-
 FORM_COLUMNS = ["kind", "form", "original", "chain", "original_docs", "original_texts"]
 
 
@@ -291,7 +266,7 @@ def _evidence(documents: DataFrame, least_ratio: int) -> DataFrame:
     counts = cut(tokens.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("copy").alias("texts")), "counts")
     words = counts.where("kind = 't'")
     distinct = words.count()
-    seen = spark.sparkContext.broadcast(Seen.of(words, distinct))
+    seen = spark.sparkContext.broadcast(Seen.of(words.select(F.xxhash64("token").alias("h")), distinct))
     schema = "kind string, form string, original string, chain string, original_docs bigint, original_texts bigint"
     forms = counts.where("kind = 'c'").mapInArrow(_character_forms, schema).unionByName(words.repartition(task_count(spark, distinct, WORDS_A_TASK), "token").mapInArrow(_word_forms(seen), schema))
     found = counts.where("kind in ('t', 'p', 's')").withColumnRenamed("token", "form")
