@@ -1,3 +1,4 @@
+import json
 import math
 import struct
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geo
 from tilewright.functions import tags as T
-from tilewright.functions.style import FEATURE_KEYS, MIN_ZOOM, POLYGON_TAGS
+from tilewright.functions.style import FEATURE_KEYS, MIN_ZOOM, POLYGON_TAGS, ParentTag, Style, read_style
 
 TAGS = "tags array<struct<key:string,val:string>>"
 
@@ -72,6 +73,9 @@ def test_lengths_areas_zooms(spark):
     assert rows[0].l == pytest.approx(445289.2673, abs=1e-3) and rows[0].a == pytest.approx(-12392658216.37, abs=0.1) and rows[1].a == pytest.approx(12392658216.37, abs=0.1)
     assert rows[0].c.lon == 5_000_000 and abs(rows[0].c.lat - 5_000_000) < 1000
     assert (rows[2].l, rows[2].a, rows[3].l, rows[3].a) == (0, 0, 0, 0)
+    assert rows[2].c is None and (rows[3].c.lon, rows[3].c.lat) == (1, 1)
+    two = spark.createDataFrame([([{"lon": 0, "lat": 0}, {"lon": 10_000_000, "lat": 0}],)], "p array<struct<lon:bigint,lat:bigint>>").select(geo.ring_centroid(F.col("p")).alias("c")).first().c
+    assert (two.lon, two.lat) == (5_000_000, 0)
     m = spark.range(1).select(geo.mercator(F.lit(-1396598), F.lit(514858926)).alias("m"), geo.res_zoom(F.lit(1.0)).alias("z"), geo.res_zoom(F.lit(100.0)).alias("y"), geo.area_zoom(F.lit(1e6), 5).alias("a"), geo.res_zoom(F.lit(0.0005)).alias("s")).first()
     assert m.m.x == pytest.approx(-15546.857820, abs=1e-5) and m.m.y == pytest.approx(6707696.756031, abs=1e-4)
     assert m.z == pytest.approx(17.2562, abs=1e-4) and m.y == pytest.approx(10.6123, abs=1e-4) and (m.a, m.s) == (8, 20)
@@ -89,10 +93,33 @@ def test_polygons_and_boxes(spark):
 
 def test_wkb(spark):
     line = [{"lon": 10_000_000, "lat": 20_000_000}, {"lon": 30_000_000, "lat": 40_000_000}]
-    df = spark.createDataFrame([("point", line, None), ("line", line, None), ("polygon", line, None), ("multipolygon", None, [[line, line]]), ("multipolygon", None, []), (None, line, None)], "k string, p array<struct<lon:bigint,lat:bigint>>, r array<array<array<struct<lon:bigint,lat:bigint>>>>")
+    df = spark.createDataFrame([("point", line, None), ("line", line, None), ("polygon", line, None), ("multipolygon", None, [[line, line]]), ("multipolygon", None, []), (None, line, None), ("multipolygon", None, [[line, line], [line]])], "k string, p array<struct<lon:bigint,lat:bigint>>, r array<array<array<struct<lon:bigint,lat:bigint>>>>")
     plain = [r.w for r in df.select(geo.wkb(F.col("k"), F.col("p"), F.col("r")).alias("w")).collect()]
     assert bytes(plain[0]) == struct.pack(">BIdd", 0, 1, 1.0, 2.0)
     assert bytes(plain[1]) == struct.pack(">BIIdddd", 0, 2, 2, 1.0, 2.0, 3.0, 4.0)
-    assert [struct.unpack(">BI", bytes(w)[:5])[1] for w in plain[2:5]] == [3, 6, 7] and plain[5] is None
+    assert [struct.unpack(">BI", bytes(w)[:5])[1] for w in plain[2:5]] == [3, 3, 7] and plain[5] is None  # one part is a polygon
+    path = struct.pack(">Idddd", 2, 1.0, 2.0, 3.0, 4.0)
+    assert bytes(plain[3]) == struct.pack(">BII", 0, 3, 2) + path * 2
+    assert bytes(plain[6]) == struct.pack(">BII", 0, 6, 2) + struct.pack(">BII", 0, 3, 2) + path * 2 + struct.pack(">BII", 0, 3, 1) + path
+    metres, turned = df.where("k = 'polygon'").select(geo.wkb(F.col("k"), F.col("p"), F.col("r"), 3857, transform=True).alias("w"), geo.wkb(F.col("k"), F.col("p"), F.col("r"), backwards=F.lit(True)).alias("b")).first()
+    assert struct.unpack(">BIIII", bytes(metres)[:17]) == (0, 0x20000003, 3857, 1, 2) and struct.unpack(">d", bytes(metres)[17:25])[0] == pytest.approx(111319.4908)
+    assert bytes(turned)[13:] == struct.pack(">dddd", 3.0, 4.0, 1.0, 2.0)
     with_srid = df.select(geo.wkb(F.col("k"), F.col("p"), F.col("r"), 4326).alias("w")).first().w
     assert struct.unpack(">BII", bytes(with_srid)[:9]) == (0, 0x20000001, 4326) and math.isclose(struct.unpack(">d", bytes(with_srid)[9:17])[0], 1.0)
+
+
+def test_style_as_json(tmp_path):
+    style = Style(parent_tags=(ParentTag("a", "x", "w", ("p", "q")), ParentTag("a", "y", "w", ("p", "q")), ParentTag("b", "x", "v")), other_keys=("name",), drop_keys=("note",), boundaries=False, all_objects=True)
+    assert Style.from_json(json.loads(json.dumps(style.to_json()))) == style
+    (tmp_path / "s.json").write_text(json.dumps({"feature_keys": ["shop"], "polygon_tags": {"area": "all", "barrier": {"include": ["wall"]}}}))
+    read = read_style(str(tmp_path / "s.json"), min_area=9.0)
+    assert (read.feature_keys, read.polygon_tags, read.min_area, read.parent_tags) == (("shop",), {"area": ("all", []), "barrier": ("include", ["wall"])}, 9.0, Style().parent_tags)
+
+
+def test_members_and_zooms_before_geometry(spark):
+    df = spark.createDataFrame([([(1, 5, "ou\x7fter"), (0, 6, None)],), (None,), ([],)], "m array<struct<type:int,ref:bigint,role:string>>")
+    rows = df.select(T.fix_members(F.col("m")).alias("f"), T.roles_have_delete_character(F.col("m")).alias("odd")).collect()
+    assert [tuple(m) for m in rows[0].f] == [(1, 5, "outer"), (0, 6, None)] and [r.odd for r in rows] == [True, False, False] and rows[1].f is None
+    table = ((0, "shop", "*", 17), (0, "shop", "mall", 12))
+    assert [of(spark, [("shop", v)], T.shows_by(F.col("tags"), [0], table, 14))[0] for v in ("mall", "x")] == [True, False]
+    assert of(spark, None, T.shows_by(F.col("tags"), [0], table, 14)) == (False,)

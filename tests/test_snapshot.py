@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.quadtree import common, key_of_point
 from tilewright.operators.overlay import apply_changes, overlay
 from tilewright.schema import COLUMNS, ELEMENT
-from tilewright.sources.snapshot import compact, drop_last, file_list, init_snapshot, read_snapshot, update_snapshot
+from tilewright.sources.snapshot import compact, drop_last, file_list, ids_of_area, init_snapshot, read_snapshot, tile_count, update_snapshot
 from tilewright.streaming.updates import follow, keep_newest
 
 AT = {1: (100_000_000, 500_000_000), 2: (100_010_000, 500_010_000), 3: (100_020_000, 500_000_000), 4: (-900_000_000, 100_000_000), 5: (-900_010_000, 100_010_000)}
@@ -76,6 +76,10 @@ def test_areas_and_compaction(spark, root):
     assert {k for k in rows} == {(0, 1), (0, 2), (1, 10), (2, 20), (2, 21)}
     assert [tuple(m) for m in rows[2, 20].members] == [(1, 10, "")]
     assert [(r.type, r.id) for r in compact(spark, root).collect()] == sorted((r.type, r.id) for r in read_snapshot(spark, root).collect())
+    assert {(r.type, r.id) for r in ids_of_area(spark, root, box).collect()} == {(0, 1), (0, 2), (1, 10), (2, 20), (2, 21)}
+    assert 0 < tile_count(spark, root, box=box) < tile_count(spark, root)
+    ring = [(99_000_000, 499_000_000), (100_015_000, 499_000_000), (100_015_000, 501_000_000), (99_000_000, 501_000_000)]
+    assert set(state(compact(spark, root, ring=ring))) == set(rows)
     with pytest.raises(ValueError):
         read_snapshot(spark, root, box=(5, 5, 4, 4))
 

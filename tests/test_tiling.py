@@ -107,3 +107,48 @@ def test_dense_areas_are_divided(spark, tmp_path):
     assert sum(folded.values()) == sum(weights.values()) and len(folded) > 50
     light = {r.quadtree: r.n for r in tiling.without_light(histogram(spark, weights), 500).collect()}
     assert len(light) < len(weights) and TileTree(light).groups(2000, 500) == got
+
+
+def plain_groups(weights, target, least, step=50):
+    """The greedy choice over a nested tree, walked by recursion."""
+    total, own, below = {}, dict(weights), {}
+    for q, n in weights.items():
+        for level in range((q & 31) + 1):
+            total[TileTree.up(q, level)] = total.get(TileTree.up(q, level), 0) + n
+    for q in total:
+        if q & 31:
+            below.setdefault(TileTree.up(q, (q & 31) - 1), []).append(q)
+    chosen = {}
+    inside = lambda q: sum(n for c, n in chosen.items() if TileTree.up(c, q & 31) == q and c & 31 >= q & 31)
+    rest = lambda q: total[q] - inside(q)
+
+    def walk(q, low, high):
+        n = rest(q)
+        if n < low or n <= 0:
+            return 0
+        if own.get(q, 0) and (n == own[q] or n <= high or all(rest(c) <= least for c in below.get(q, []))):
+            chosen[q] = chosen.get(q, 0) + n
+            return 1
+        return sum(walk(c, low, high) for c in sorted(below.get(q, [])))
+
+    low, high = target - step, target + step
+    while total and rest(0) > 0:
+        while rest(0) >= high and rest(0) != own.get(0, 0) and walk(0, low, high):
+            pass
+        if rest(0) < high or rest(0) == own.get(0, 0):
+            break
+        low, high = max(least, low - step), high + step
+        if high > step * target:
+            break
+    if total and rest(0) > 0:
+        chosen[0] = chosen.get(0, 0) + rest(0)
+    return chosen
+
+
+def test_groups_equal_a_plain_walk(spark):
+    for seed in range(4):
+        rng = random.Random(seed)
+        weights = {key(rng, 6): rng.randrange(1, 90) for _ in range(150)}
+        want = plain_groups(weights, 400, 60)
+        assert TileTree(weights).groups(400, 60) == want
+    assert {r.tile_qt: r.weight for r in tiling.grouped_tiles(histogram(spark, weights), 400, 60).collect()} == want

@@ -160,7 +160,12 @@ def _relation_tag(target: str, where: list[tuple[str, str]], source: str, how: s
 
 
 _QUOTE = lambda x: f"""'"' || replace(replace(replace({x}, chr(10), ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'"""
-_PLACES = f"n AS (SELECT id, lon, lat FROM {_nodes()} WHERE abs(lat) < 890000000), w AS (SELECT id, refs FROM {_ways()}), wn AS (SELECT id, unnest(refs) AS node, generate_subscripts(refs, 1) AS pos FROM w), p AS (SELECT wn.id, pos, lon, lat, lon * 1e-7 / 180 * 20037508.342789244 AS x, ln(tan((lat * 1e-7 / 90 + 1) * pi() / 4)) / pi() * 20037508.342789244 AS y FROM wn JOIN n ON n.id = wn.node)"
+def _metres(lat: str) -> str:
+    """Mercator metres of a latitude; null at the south pole."""
+    return f"(CASE WHEN {lat} > -900000000 THEN ln(tan(({lat} * 1e-7 / 90 + 1) * pi() / 4)) / pi() * 20037508.342789244 END)"
+
+
+_PLACES = f"n AS (SELECT id, lon, lat FROM {_nodes()}), w AS (SELECT id, refs FROM {_ways()}), wn AS (SELECT id, unnest(refs) AS node, generate_subscripts(refs, 1) AS pos FROM w), p AS (SELECT wn.id, pos, lon, lat, lon * 1e-7 / 180 * 20037508.342789244 AS x, {_metres('lat')} AS y FROM wn JOIN n ON n.id = wn.node)"
 _RANK = "CASE v " + " ".join(f"WHEN '{h}' THEN {i}" for i, h in enumerate(HIGHWAY_RANK)) + " END"
 _WEIGHTS = f"SELECT {_round('qt', LEVEL)} AS quadtree, sum(weight)::BIGINT AS n FROM qt_items WHERE qt >= 0 GROUP BY 1 HAVING sum(weight) IS NOT NULL"
 _TILE_X = "list_sum([((({q} >> (61 - 2 * l)::BIGINT) & {bit}) // {bit}) * pow(2, ({q} & 31) - 1 - l)::BIGINT FOR l IN range(0, {q} & 31)])"
@@ -211,8 +216,8 @@ SQL: dict[str, str] = {
     "filter_tags": f"SELECT type, id, coalesce({_joined(f't.key IS NOT NULL AND (t.key IN {_texts(FEATURE_KEYS)} OR NOT {_DROPPED})')}, '') AS kept, coalesce(len([t FOR t IN tags IF t.key IN {_texts(FEATURE_KEYS)}]) > 0, false) AS feature, try_cast([t.val FOR t IN tags IF t.key = 'layer'][1] AS BIGINT) AS layer FROM {_elements('tags')}",
     "polygon_tags": f"SELECT type, id, coalesce(len([t FOR t IN tags IF {_POLYGON}]) > 0, false) AS polygon FROM {_elements('tags')}",
     "zorder": f"SELECT type, id, list_max([{_Z} FOR t IN tags]) AS zorder FROM {_elements('tags')}",
-    "minzoom_tag": f"SELECT id, least({_zoom(1)}, {_zoom(2)}) AS zoom FROM (SELECT * FROM {current_whole('osm_ways', 'tags')} WHERE {LIVE})",
-    "tags_json": f"SELECT type, id, len(list_distinct([t.key FOR t IN tags IF t.key IS NOT NULL])) AS n, [t.val FOR t IN tags IF t.key = 'name'][1] AS name FROM {_elements('tags')} WHERE tags IS NOT NULL",
+    "minzoom_tag": f"SELECT type, id, zoom, coalesce(zoom <= CASE WHEN type = 0 THEN 14 ELSE 12 END, false) AS shows FROM (SELECT type, id, CASE WHEN type = 0 THEN {_zoom(0)} ELSE least({_zoom(1)}, {_zoom(2)}) END AS zoom FROM {_elements('tags')})",
+    "tags_json": f"SELECT type, id, '{{' || array_to_string(list_transform(list_sort(list_distinct([t.key FOR t IN tags IF t.key IS NOT NULL])), lambda k: to_json(k)::VARCHAR || ':' || coalesce(to_json([t.val FOR t IN tags IF t.key = k][1])::VARCHAR, 'null')), ',') || '}}' AS json FROM {_elements('tags')} WHERE tags IS NOT NULL",
     "tags_hstore": f"SELECT type, id, array_to_string([{_QUOTE('t.key')} || '=>' || coalesce({_QUOTE('t.val')}, 'NULL') FOR t IN tags IF t.key IS NOT NULL], ',') AS hstore FROM {_elements('tags')} WHERE tags IS NOT NULL",
     "tags_fixed": f"SELECT type, id, {_joined('true', 'list_sort([{key: replace(t.key, chr(127), chr(0)[2:]), val: replace(t.val, chr(127), chr(0)[2:])} FOR t IN tags IF t.key IS NOT NULL AND t.val IS NOT NULL])')} AS fixed, coalesce(len([t FOR t IN tags IF contains(t.key, chr(127)) OR contains(t.val, chr(127))]) > 0, false) AS odd FROM {_elements('tags')}",
     "parent_tags": f"""WITH w AS (SELECT id, refs, tags FROM {_ways('refs tags')}), n AS (SELECT id, tags FROM {_nodes('lon lat tags')}),
@@ -222,13 +227,13 @@ SQL: dict[str, str] = {
         SELECT node AS id, 'parent_highway' AS key, arg_max(v, rank) AS val FROM (SELECT *, {_RANK} AS rank FROM hv) JOIN n ON n.id = node WHERE rank IS NOT NULL AND ({_has('highway')} OR {_has('railway')}) GROUP BY node
         UNION ALL SELECT node, 'parent_service', arg_min(v, sv.id) FROM sv JOIN n ON n.id = node WHERE v <> '' AND {_has('highway')} GROUP BY node""",
     "relation_tags": " UNION ALL ".join([_relation_tag("min_admin_level", [("type", "boundary"), ("boundary", "administrative")], "admin_level", "min"), _relation_tag("max_admin_level", [("type", "boundary"), ("boundary", "administrative")], "admin_level", "max"), _relation_tag("bus_routes", [("type", "route"), ("route", "bus")], "ref", "list"), _relation_tag("bicycle_routes", [("type", "route"), ("route", "bicycle")], "ref", "list")]),
-    "mercator_forward": f"SELECT id, round(lon * 1e-7 / 180 * 20037508.342789244, 2) AS x, round(ln(tan((lat * 1e-7 / 90 + 1) * pi() / 4)) / pi() * 20037508.342789244, 2) AS y FROM {_nodes()} WHERE abs(lat) < 890000000",
-    "line_lengths": f"WITH {_PLACES}, seg AS (SELECT id, sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2) AS d FROM p WINDOW o AS (PARTITION BY id ORDER BY pos)), s AS (SELECT id, count(*) AS points, coalesce(sum(d), 0) AS d FROM seg GROUP BY id) SELECT w.id, coalesce(len(w.refs), 0) - coalesce(s.points, 0) AS missing, coalesce(s.points, 0) AS points, round(coalesce(s.d, 0), 1) AS length FROM w LEFT JOIN s USING (id)",
-    "ring_areas": f"WITH {_PLACES}, seg AS (SELECT id, lag(x) OVER o * y - lag(y) OVER o * x AS c FROM p WINDOW o AS (PARTITION BY id ORDER BY pos)), s AS (SELECT id, count(*) AS points, sum(c) AS c FROM seg GROUP BY id) SELECT w.id, round(-0.5 * s.c / 1e4, 0)::BIGINT AS hectares, true AS placed FROM w JOIN s USING (id) WHERE len(refs) > 3 AND refs[1] = refs[-1] AND s.points = len(refs)",
+    "mercator_forward": f"SELECT id, round(lon * 1e-7 / 180 * 20037508.342789244, 2) AS x, round({_metres('lat')}, 2) AS y FROM {_nodes()}",
+    "line_lengths": f"WITH {_PLACES}, seg AS (SELECT id, sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2) AS d FROM p WINDOW o AS (PARTITION BY id ORDER BY pos)), s AS (SELECT id, count(*) AS points, CASE WHEN count(*) - 1 = count(d) THEN coalesce(sum(d), 0) END AS d FROM seg GROUP BY id) SELECT w.id, coalesce(len(w.refs), 0) - coalesce(s.points, 0) AS missing, coalesce(s.points, 0) AS points, CASE WHEN s.id IS NULL THEN 0 ELSE round(s.d, 1) END AS length FROM w LEFT JOIN s USING (id)",
+    "ring_areas": f"WITH {_PLACES}, seg AS (SELECT id, lag(x) OVER o * y - lag(y) OVER o * x AS c FROM p WINDOW o AS (PARTITION BY id ORDER BY pos)), s AS (SELECT id, count(*) AS points, CASE WHEN count(*) - 1 = count(c) THEN sum(c) END AS c FROM seg GROUP BY id) SELECT w.id, round(-0.5 * s.c / 1e4, 0)::BIGINT AS hectares, true AS placed FROM w JOIN s USING (id) WHERE len(refs) > 3 AND refs[1] = refs[-1] AND s.points = len(refs)",
     "bbox_extract": f"WITH RECURSIVE {_area(False)} SELECT type, id FROM area",
     "poly_extract": f"WITH RECURSIVE {_area(True)} SELECT type, id FROM area",
     "filter_members": f"WITH RECURSIVE {_area(False)}, f AS (SELECT id, unnest(members) AS mm, generate_subscripts(members, 1) AS pos FROM r) SELECT f.id, string_agg(mm.type || ':' || mm.ref, ',' ORDER BY pos) AS members FROM f JOIN area ON area.type = mm.type AND area.id = mm.ref GROUP BY f.id",
-    "idset_invert": f"SELECT 0 AS type, id FROM {_nodes()} WHERE id NOT IN (SELECT unnest(refs) FROM {_ways()} WHERE refs IS NOT NULL INTERSECT SELECT id FROM osm_nodes) AND id NOT IN (SELECT m.ref FROM (SELECT unnest(members) AS m FROM {_relations()}) WHERE m.type = 0 AND m.ref IS NOT NULL)",
+    "idset_invert": f"WITH named AS (SELECT 0 AS type, unnest(refs) AS id FROM {_ways()} UNION SELECT m.type, m.ref FROM (SELECT unnest(members) AS m FROM {_relations()})) SELECT type, id FROM {_elements('quadtree')} e WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.type = e.type AND n.id = e.id)",
     "dedupe_version": f"SELECT type, id, info.version AS version, file_idx, changetype FROM {_NEWEST}",
     "overlay_merge": _overlay("", False),
     "overlay_apply": _overlay("", True),
@@ -237,7 +242,9 @@ SQL: dict[str, str] = {
     "original_rows": f"""WITH f AS (SELECT type, id, changetype, coalesce(info.version, -1) AS version, 0 AS file_idx FROM {_all('info')} UNION ALL SELECT type, id, changetype, coalesce(info.version, -1), file_idx FROM osm_changes WHERE file_idx <= 30),
         one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, id, file_idx ORDER BY version DESC, changetype DESC) AS nth FROM f) WHERE nth = 1 AND changetype <> 2 AND (type, id) IN (SELECT (type, id) FROM osm_changes WHERE file_idx > 30))
         SELECT type, id, version, file_idx FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY file_idx DESC) AS n2 FROM one) WHERE n2 = 1 AND changetype <> 1""",
-    "index_lookup": f"WITH {_assigned('SELECT 1 AS type, id, refs, quadtree FROM ' + _ways('refs quadtree'))}, ix AS (SELECT tile_qt, 1 AS type, id FROM tiled UNION ALL SELECT tile_qt, 0, unnest(refs) FROM tiled) SELECT DISTINCT tile_qt FROM ix WHERE tile_qt IS NOT NULL AND (type, id) IN (SELECT (type, id) FROM osm_changes WHERE type IS NOT NULL AND id IS NOT NULL)",
+    "index_lookup": f"""WITH {_assigned("SELECT 0 AS type, id, NULL::BIGINT[] AS refs, NULL::STRUCT(type INT, ref BIGINT, role VARCHAR)[] AS members, quadtree FROM " + _nodes("lon lat quadtree") + " UNION ALL SELECT 1, id, refs, NULL, quadtree FROM " + _ways("refs quadtree") + " UNION ALL SELECT 2, id, NULL, members, quadtree FROM " + _relations("members quadtree"))},
+        ix AS (SELECT tile_qt, type, id FROM tiled UNION ALL SELECT tile_qt, 0, unnest(refs) FROM tiled UNION ALL SELECT tile_qt, m.type, m.ref FROM (SELECT tile_qt, unnest(members) AS m FROM tiled))
+        SELECT DISTINCT tile_qt FROM ix WHERE tile_qt IS NOT NULL AND (type, id) IN (SELECT (type, id) FROM osm_changes WHERE type IS NOT NULL AND id IS NOT NULL)""",
     "change_tiles": f"""WITH {_assigned(f"SELECT type, id, changetype, quadtree, 0 AS stored FROM {_NEWEST} UNION ALL SELECT type, id, 0, quadtree, 1 FROM ({_STORED})")},
         p AS (SELECT a.*, o.tile_qt AS old FROM (SELECT * FROM tiled WHERE stored = 0) a LEFT JOIN (SELECT * FROM tiled WHERE stored = 1) o USING (type, id))
         SELECT tile_qt, type, id, changetype, quadtree FROM p WHERE changetype > 2 UNION ALL SELECT old, type, id, 2, 0 FROM p WHERE changetype > 2 AND old <> tile_qt UNION ALL SELECT old, type, id, changetype, quadtree FROM p WHERE changetype = 1 AND old IS NOT NULL""",
@@ -246,4 +253,96 @@ SQL: dict[str, str] = {
         WHEN a.tags IS DISTINCT FROM b.tags THEN 'tags' ELSE 'same' END AS reason FROM base a FULL JOIN after b ON a.type = b.type AND a.id = b.id) GROUP BY ALL""",
     "renamed_users": f"SELECT a.info.user_id AS user_id, a.info.user AS left_user, b.info.user AS right_user, count(*) AS n FROM {_elements('info')} a JOIN {_NEWEST} b ON a.type = b.type AND a.id = b.id AND a.info.user_id = b.info.user_id WHERE a.info.user IS DISTINCT FROM b.info.user GROUP BY ALL",
 }
+def _fold() -> str:
+    """Tiles below 200 folded into their parents, from level 17 upwards; a row of the recursion is a tile after a level."""
+    leaf = f"SELECT {_round('qt', 17)} AS q, sum(weight)::BIGINT AS n FROM qt_items WHERE qt >= 0 GROUP BY 1 HAVING sum(weight) IS NOT NULL"
+    step = f"SELECT l, q, n, {_round('q', 'l')} AS tile FROM (SELECT l - 1 AS l, q, n FROM r WHERE l > 1)"
+    small = f"SELECT l, CASE WHEN (q & 31) >= l AND sum(CASE WHEN (q & 31) >= l THEN n END) OVER (PARTITION BY tile) < 200 THEN {_round('q', 'l - 1')} ELSE q END AS q, n FROM ({step})"
+    return f"WITH RECURSIVE r(l, q, n) AS (SELECT 18, q, n FROM ({leaf}) UNION ALL SELECT l, q, sum(n)::BIGINT FROM ({small}) GROUP BY l, q) SELECT q AS quadtree, n FROM r WHERE l = 1"
+
+
+_KEPT = _joined(f"t.key IS NOT NULL AND (t.key IN {_texts(FEATURE_KEYS)} OR NOT {_DROPPED})")
+_FEATURE = f"len([t FOR t IN tags IF t.key IN {_texts(FEATURE_KEYS)}]) > 0"
+_LAYER = "try_cast([t.val FOR t IN tags IF t.key = 'layer'][1] AS BIGINT)"
+_KEPT_LIST = f"[t FOR t IN tags IF t.key IS NOT NULL AND (t.key IN {_texts(FEATURE_KEYS)} OR NOT {_DROPPED})]"
+
+
+def _res_zoom(metres: str) -> str:
+    return f"(CASE WHEN abs({metres}) < 0.001 THEN 20.0 ELSE log2(20037508.342789244 * 2 / 256 / ({metres})) END)"
+
+
+_SHAPES = f"""
+n AS (SELECT id, lon, lat, tags FROM {_nodes('lon lat tags')}), w AS (SELECT id, refs, tags FROM {_ways('refs tags')}),
+p AS (SELECT wn.id, pos, lon, lat, {_metres('lat')} AS y, lon * 1e-7 / 180 * 20037508.342789244 AS x
+    FROM (SELECT id, unnest(refs) AS node, generate_subscripts(refs, 1) AS pos FROM w) wn JOIN n ON n.id = wn.node),
+seg AS (SELECT id, lon, lat, sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2) AS d, lag(x) OVER o * y - lag(y) OVER o * x AS c FROM p WINDOW o AS (PARTITION BY id ORDER BY pos)),
+s AS (SELECT id, count(*) AS points, CASE WHEN count(*) - 1 = count(d) THEN sum(d) END AS length, CASE WHEN count(*) - 1 = count(c) THEN -0.5 * sum(c) END AS area, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM seg GROUP BY id HAVING count(*) >= 2),
+shape AS (
+    SELECT 3 AS type, id, tags, NULL::DOUBLE AS length, NULL::DOUBLE AS area, lon AS minx, lat AS miny, lon AS maxx, lat AS maxy FROM n WHERE len(tags) > 0 AND {_FEATURE}
+    UNION ALL SELECT CASE WHEN polygon THEN 5 ELSE 4 END, id, tags, CASE WHEN NOT polygon THEN s_length END, CASE WHEN polygon THEN abs(s_area) END, minx, miny, maxx, maxy
+    FROM (SELECT w.id, w.tags, s.length AS s_length, s.area AS s_area, s.minx, s.miny, s.maxx, s.maxy, coalesce(len(refs) > 3 AND refs[1] = refs[-1] AND points > 3 AND len([t FOR t IN {_KEPT_LIST} IF POLYGON_RULES]) > 0, false) AS polygon FROM w JOIN s USING (id) WHERE {_FEATURE})),
+bx AS (SELECT id * 8 + type AS k, minx, miny, maxx, maxy FROM shape), {KEYED},
+zoomed AS (SELECT type, id, tags, length, area, {_LAYER} AS layer, CASE WHEN type <> 3 THEN list_max([{_Z} FOR t IN {_KEPT_LIST}]) END AS zorder, keyed.key AS quadtree,
+    CASE WHEN type = 3 THEN {_zoom(0).replace(" IN tags]", f" IN {_KEPT_LIST}]")} ELSE least({_zoom(1).replace(" IN tags]", f" IN {_KEPT_LIST}]")}, {_zoom(2).replace(" IN tags]", f" IN {_KEPT_LIST}]")}) END AS tag_zoom,
+    CASE WHEN type = 5 THEN trunc({_res_zoom('sqrt(area / 5.0)')})::BIGINT ELSE 0 END AS size_zoom FROM shape JOIN keyed ON keyed.k = id * 8 + type),
+made AS (SELECT *, CASE WHEN tag_zoom IS NOT NULL THEN greatest(tag_zoom, size_zoom) END AS minzoom FROM zoomed)
+"""
+
+SQL |= {
+    "qt_fold_small": _fold(),
+    "plain_shapes": f"WITH RECURSIVE {_SHAPES.replace('POLYGON_RULES', _POLYGON)} SELECT type, id, quadtree, layer, zorder, minzoom, round(length, 1) AS length, round(area / 1e4, 0) AS hectares, coalesce({_KEPT}, '') AS kept FROM made",
+    "plain_shapes_to_zoom": f"WITH RECURSIVE {_SHAPES.replace('POLYGON_RULES', 'false')} SELECT type, id, minzoom, zorder FROM made WHERE minzoom <= 13",
+    "dataset_update": f"""WITH new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY type, id ORDER BY coalesce(info.version, -1) DESC, coalesce(file_idx, 2147483647), changetype DESC) AS nth FROM osm_changes WHERE type IS NOT NULL AND id IS NOT NULL AND changetype IN (1, 4, 5)) WHERE nth = 1),
+        base AS (SELECT 0 AS type, id, info FROM {_nodes('lon lat info')} UNION ALL SELECT 1, id, info FROM {_ways('refs info')} UNION ALL SELECT 2, id, info FROM {_relations('members info')})
+        SELECT type, id, 0 AS changetype, info.version AS version FROM base WHERE (type, id) NOT IN (SELECT (type, id) FROM new) UNION ALL SELECT type, id, 0, info.version FROM new WHERE changetype >= 4""",
+    "way_node_pairs": f"SELECT id AS way_id, pos::INT AS pos, node AS node_id FROM (SELECT id, unnest(refs) AS node, generate_subscripts(refs, 1) - 1 AS pos FROM {_ways()}) WHERE node IS NOT NULL",
+    "box_tests": f"WITH {_WAY_BOXES} SELECT id, minx <= {BOX[2]} AND maxx >= {BOX[0]} AND miny <= {BOX[3]} AND maxy >= {BOX[1]} AS touches, minx >= {BOX[0]} AND maxx <= {BOX[2]} AND miny >= {BOX[1]} AND maxy <= {BOX[3]} AS inside FROM boxes WHERE found > 0",
+    "tag_edits": f"""SELECT type, id, array_to_string([t.key || '=' || coalesce(t.val, '') FOR t IN CASE WHEN h IS NULL THEN plain ELSE list_append([t FOR t IN coalesce(plain, []) IF t.key IS NULL OR t.key <> 'checked'], {{key: 'checked', val: h}}) END], ';') AS edited, first_name, last_name, residential
+        FROM (SELECT type, id, [t FOR t IN tags IF t.key IS NULL OR t.key <> 'note'] AS plain, [t.val FOR t IN tags IF t.key = 'highway'][1] AS h, [t.val FOR t IN tags IF t.key = 'name'][1] AS first_name, [t.val FOR t IN tags IF t.key = 'name'][-1] AS last_name, coalesce(len([t FOR t IN tags IF t.key = 'highway' AND t.val = 'residential']) > 0, false) AS residential FROM {_elements('tags')})""",
+    "tags_packed": f"SELECT type, id, coalesce(list_sum([4 + strlen(coalesce(t.key, '')) + strlen(coalesce(t.val, '')) FOR t IN tags]), 0)::INT AS bytes, coalesce(array_to_string([coalesce(t.key, '') || '=' || coalesce(t.val, '') FOR t IN tags], ';'), '') AS tags FROM {_elements('tags')} WHERE tags IS NOT NULL",
+    "members_fixed": f"SELECT id, array_to_string([coalesce(replace(m.role, chr(127), chr(0)[2:]), '-') FOR m IN members], ';') AS roles, coalesce(len([m FOR m IN members IF contains(m.role, chr(127))]) > 0, false) AS odd FROM {_relations()}",
+    "dates": f"SELECT type, id, strftime(make_timestamp(info.timestamp * 1000000), '%Y-%m-%dT%H:%M:%S') AS at FROM {_elements('info')}",
+    "short_keys": f"SELECT type, id, CASE WHEN quadtree >= 0 THEN (((quadtree >> 23) * 32) | (quadtree & 31)) + 1 ELSE 0 END AS short, CASE WHEN quadtree >= 0 THEN quadtree ELSE -1 END AS long FROM {_KEYS}",
+    "keys_of_elements": f"SELECT type, id, coalesce(quadtree, -1) AS quadtree FROM {_elements('quadtree')}",
+    "id_positions": f"SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS place FROM {_elements('info')}",
+    "mercator_boxes": f"""WITH {_WAY_BOXES} SELECT id, {', '.join(f"round({c} * 1e-7 / 180 * 20037508.342789244, 1) AS {c}" for c in ('minx', 'maxx'))}, {', '.join(f"round({_metres(c)}, 1) AS {c}" for c in ('miny', 'maxy'))} FROM boxes WHERE found > 0""",
+}
+
+
+def _ring_codes() -> str:
+    """Codes by the definition: extents, containment, the centre's even-odd test, and segments of box and ring that have a point in common."""
+    xs, ys = zip(*RING)
+    edges = [(*RING[i - 1], *RING[i]) for i in range(len(RING))]
+    ring = " UNION ALL ".join(f"SELECT {a}::DOUBLE AS ax, {b}::DOUBLE AS ay, {c}::DOUBLE AS cx, {d}::DOUBLE AS cy" for a, b, c, d in edges)
+    whole = lambda v: f"trunc({v} * 1e7 + sign({v}) * 0.5)"
+    side = lambda p, q, r: f"(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+    return f"""WITH ring AS ({ring}),
+    b AS (SELECT tile_qt, {whole('(ax - (bx - ax) * 0.05)')} AS x0, {whole('(ay - (cy - ay) * 0.05)')} AS y0, {whole('(bx + (bx - ax) * 0.05)')} AS x1, {whole('(cy + (cy - ay) * 0.05)')} AS y1 FROM (SELECT DISTINCT tile_qt, ax, bx, ay, cy FROM ({_TILE_BOXES}))),
+    sides AS (SELECT tile_qt, x0 AS px, y0 AS py, x1 AS qx, y0 AS qy FROM b UNION ALL SELECT tile_qt, x1, y0, x1, y1 FROM b UNION ALL SELECT tile_qt, x1, y1, x0, y1 FROM b UNION ALL SELECT tile_qt, x0, y1, x0, y0 FROM b),
+    cross_ AS (SELECT DISTINCT tile_qt FROM sides JOIN ring ON greatest(px, qx) >= least(ax, cx) AND least(px, qx) <= greatest(ax, cx) AND greatest(py, qy) >= least(ay, cy) AND least(py, qy) <= greatest(ay, cy)
+        AND sign({side('p', 'q', 'a')}) * sign({side('p', 'q', 'c')}) <= 0 AND sign({side('a', 'c', 'p')}) * sign({side('a', 'c', 'q')}) <= 0),
+    mid AS (SELECT tile_qt, count(*) % 2 = 1 AS inside FROM b JOIN ring ON (ay > (y0 + y1) / 2) <> (cy > (y0 + y1) / 2) AND (x0 + x1) / 2 < (ax - cx) * ((y0 + y1) / 2 - cy) / (ay - cy) + cx GROUP BY tile_qt)
+    SELECT b.tile_qt, CASE WHEN {min(xs)} > x1 OR {max(xs)} < x0 OR {min(ys)} > y1 OR {max(ys)} < y0 THEN 0 WHEN x0 <= {min(xs)} AND x1 >= {max(xs)} AND y0 <= {min(ys)} AND y1 >= {max(ys)} THEN 1 WHEN inside THEN 2 WHEN c.tile_qt IS NOT NULL THEN 3 ELSE 4 END AS code
+    FROM b LEFT JOIN mid ON mid.tile_qt = b.tile_qt LEFT JOIN cross_ c ON c.tile_qt = b.tile_qt"""
+
+
+SQL["tiles_of_ring"] = _ring_codes()
+SQL["change_keys"] = f"""WITH RECURSIVE ch AS (SELECT * FROM {_NEWEST}), alive AS (SELECT * FROM ch WHERE changetype > 2),
+    n AS (SELECT id, lon, lat, quadtree FROM {_nodes('lon lat quadtree')}), w AS (SELECT id, quadtree FROM {_ways('refs quadtree')}), r AS (SELECT id, members, quadtree FROM {_relations('members quadtree')}),
+    nn AS (SELECT id, lon, lat FROM alive WHERE type = 0), places AS (SELECT id, lon, lat FROM n WHERE id NOT IN (SELECT id FROM nn) UNION ALL SELECT * FROM nn),
+    nw AS (SELECT id, refs FROM alive WHERE type = 1), wn AS (SELECT DISTINCT id, node FROM (SELECT id, unnest(refs) AS node FROM nw) WHERE node IS NOT NULL),
+    wb AS (SELECT nw.id, min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy FROM nw LEFT JOIN wn USING (id) LEFT JOIN places ON places.id = wn.node AND lon IS NOT NULL AND lat IS NOT NULL GROUP BY nw.id),
+    bx AS (SELECT id AS k, minx, miny, maxx, maxy FROM wb UNION ALL SELECT -id - 1000000000000, lon, lat, lon, lat FROM nn), {KEYED},
+    wq AS (SELECT k AS id, key AS q FROM keyed WHERE k > -1000000000000), own AS (SELECT -k - 1000000000000 AS id, key AS q FROM keyed WHERE k <= -1000000000000),
+    thr AS (SELECT node AS id, {_common_of('wq.q')} AS q FROM wn JOIN wq USING (id) GROUP BY node),
+    nq0 AS (SELECT coalesce(thr.id, own.id) AS id, coalesce(thr.q, own.q, -1) AS here FROM thr FULL JOIN own ON thr.id = own.id),
+    nq1 AS (SELECT nq0.id, n.quadtree AS old, coalesce(n.quadtree, -1) AS old_, here FROM nq0 LEFT JOIN n ON n.id = nq0.id),
+    nq AS (SELECT id, old, {_common('old_', 'here')} AS q FROM nq1),
+    moved AS (SELECT 0 AS kind, id, q FROM nq WHERE old IS NULL OR q <> old UNION ALL SELECT 1, id, q FROM wq),
+    mem AS (SELECT id, m.type AS kind, m.ref AS ref FROM (SELECT id, unnest(members) AS m FROM (SELECT id, members FROM r WHERE id NOT IN (SELECT id FROM alive WHERE type = 2) UNION ALL SELECT id, members FROM alive WHERE type = 2))),
+    by_m AS (SELECT mem.id, {_common_of('moved.q')} AS q FROM mem JOIN moved ON moved.kind = mem.kind AND moved.id = mem.ref GROUP BY mem.id),
+    rq AS (SELECT id, old, {_common('old_', 'here')} AS q FROM (SELECT by_m.id, r.quadtree AS old, coalesce(r.quadtree, -1) AS old_, by_m.q AS here FROM by_m LEFT JOIN r ON r.id = by_m.id)),
+    rows_ AS (SELECT 0 AS type, id, old, q FROM nq UNION ALL SELECT 1, wq.id, w.quadtree, wq.q FROM wq LEFT JOIN w ON w.id = wq.id UNION ALL SELECT 2, id, old, q FROM rq)
+    SELECT coalesce(rows_.type, ch.type) AS type, coalesce(rows_.id, ch.id) AS id, coalesce(q, ch.quadtree, -1) AS quadtree, coalesce(ch.changetype, 3) AS changetype FROM rows_ FULL JOIN ch ON ch.type = rows_.type AND ch.id = rows_.id
+    WHERE coalesce(ch.changetype, 3) IN (1, 4, 5) OR old IS NULL OR q <> old"""
 SQL["stream_update"] = SQL["dedupe_version"]

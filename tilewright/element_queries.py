@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import quadtree as Q
 from tilewright.functions import tags as T
-from tilewright.functions.geo import line_length, mercator, ring_area, ring_centroid, wkb
+from tilewright.functions.geo import box_contains, boxes_touch, line_length, meets_ring, mercator, mercator_box, ring_area, ring_centroid, wkb
 from tilewright.functions.style import DROP_KEYS, FEATURE_KEYS, MIN_ZOOM, PARENT_TAGS, POLYGON_TAGS, RELATION_TAGS, Style
+from tilewright.functions.text import date_text, long_key, packed_tags, short_key, unpacked_tags
 from tilewright.operators import diff, extract, geometry, keys, overlay, stats, tiling
 from tilewright.operators.current import current_rows
 from tilewright.operators.multipolygon import build_multipolygons
+from tilewright.plans.lineage import shared_dir
+from tilewright.schema import MEMBERS
+from tilewright.sources import snapshot
 from tilewright.streaming.updates import keep_newest
 
 #: Area of the extract queries, degrees x 1e7, and a ring inside it.
@@ -201,13 +207,14 @@ def zorder(spark: Spark, folder: str) -> DataFrame:
 
 
 def minzoom_tag(spark: Spark, folder: str) -> DataFrame:
-    return _live(spark, folder, 1, ["tags"]).select("id", T.tag_zoom(F.col("tags"), [1, 2], tuple(MIN_ZOOM)).alias("zoom"))
+    """Least zoom of the tags: of nodes as points, of ways and relations as lines or polygons."""
+    table_ = tuple(MIN_ZOOM)
+    zoom = F.when(F.col("type") == 0, T.tag_zoom(F.col("tags"), [0], table_)).otherwise(T.tag_zoom(F.col("tags"), [1, 2], table_))
+    return _elements(spark, folder, "tags").select("type", "id", zoom.alias("zoom"), F.when(F.col("type") == 0, T.shows_by(F.col("tags"), [0], table_, 14)).otherwise(T.shows_by(F.col("tags"), [1, 2], table_, 12)).alias("shows"))
 
 
 def tags_json(spark: Spark, folder: str) -> DataFrame:
-    """JSON of the tags, checked by the number of its keys and the text's length."""
-    text = T.as_json(F.col("tags"))
-    return _elements(spark, folder, "tags").where("tags is not null").select("type", "id", F.size(F.json_object_keys(text)).alias("n"), F.get_json_object(text, "$.name").alias("name"))
+    return _elements(spark, folder, "tags").where("tags is not null").select("type", "id", T.as_json(F.col("tags")).alias("json"))
 
 
 def tags_hstore(spark: Spark, folder: str) -> DataFrame:
@@ -229,11 +236,11 @@ def relation_tags(spark: Spark, folder: str) -> DataFrame:
 
 def mercator_forward(spark: Spark, folder: str) -> DataFrame:
     at = mercator(F.col("lon"), F.col("lat"))
-    return _nodes(spark, folder).where("abs(lat) < 890000000").select("id", F.round(at["x"], 2).alias("x"), F.round(at["y"], 2).alias("y"))
+    return _nodes(spark, folder).select("id", F.round(at["x"], 2).alias("x"), F.round(at["y"], 2).alias("y"))
 
 
 def _placed(spark: Spark, folder: str, *more: str) -> DataFrame:
-    return geometry.ways_with_nodes(_ways(spark, folder, *more), _nodes(spark, folder).where("abs(lat) < 890000000"))
+    return geometry.ways_with_nodes(_ways(spark, folder, *more), _nodes(spark, folder))
 
 
 def line_lengths(spark: Spark, folder: str) -> DataFrame:
@@ -261,11 +268,10 @@ def filter_members(spark: Spark, folder: str) -> DataFrame:
 
 
 def idset_invert(spark: Spark, folder: str) -> DataFrame:
-    """Elements that no way or relation refers to."""
-    nodes, ways, relations = _nodes(spark, folder), _ways(spark, folder), _relations(spark, folder)
-    named = extract.named_ids(nodes.limit(0), ways, relations)
-    referred = named.join(ways.select(F.lit(1).alias("type"), "id").unionByName(relations.select(F.lit(2).alias("type"), "id")), ["type", "id"], "left_anti")
-    return extract.outside(nodes.select(F.lit(0).alias("type"), "id"), referred)
+    """Elements of all kinds that no way or relation refers to."""
+    ways, relations = _ways(spark, folder), _relations(spark, folder)
+    named = extract.named_ids(ways.limit(0), ways.withColumn("id", F.lit(None).cast("bigint")), relations.withColumn("id", F.lit(None).cast("bigint")))
+    return extract.outside(_elements(spark, folder, "quadtree").select("type", "id"), named)
 
 
 def dedupe_version(spark: Spark, folder: str) -> DataFrame:
@@ -309,8 +315,10 @@ def original_rows(spark: Spark, folder: str) -> DataFrame:
 
 
 def index_lookup(spark: Spark, folder: str) -> DataFrame:
-    """Tiles that hold anything that the change files name."""
-    stored = tiling.assign_tiles(_ways(spark, folder, "quadtree").withColumn("type", F.lit(1)), table(spark, folder, "tiles")).where("tile_qt is not null")
+    """Tiles that hold anything that the change files name, itself or by reference."""
+    nodes, ways, relations = (t(spark, folder, "quadtree") for t in (_nodes, _ways, _relations))
+    parts = [t.select(F.lit(k).alias("type"), "id", "quadtree", *[(F.col(c) if c in t.columns else F.lit(None).cast(kind)).alias(c) for c, kind in (("refs", "array<bigint>"), ("members", MEMBERS))]) for k, t in enumerate((nodes, ways, relations))]
+    stored = tiling.assign_tiles(parts[0].unionByName(parts[1]).unionByName(parts[2]), table(spark, folder, "tiles")).where("tile_qt is not null")
     return overlay.tiles_with(overlay.id_index(stored), table(spark, folder, "osm_changes"))
 
 
@@ -341,6 +349,20 @@ def geometries(spark: Spark, folder: str) -> DataFrame:
     return _shapes(spark, folder).select("type", "id", "quadtree", "layer", "zorder", "minzoom", F.round("length", 1).alias("length"), F.round("area", 0).alias("area"), "reversed", F.size("tags").alias("n_tags"))
 
 
+def plain_shapes(spark: Spark, folder: str) -> DataFrame:
+    """Points, lines and polygons of nodes and ways by their own tags, with keys and zooms."""
+    style = Style(parent_tags=(), relation_tags=(), multipolygons=False, boundaries=False)
+    made = geometry.process_geometry(_nodes(spark, folder, "tags"), _ways(spark, folder, "tags"), _relations(spark, folder, "tags"), style)
+    return made.select("type", "id", "quadtree", "layer", "zorder", "minzoom", F.round("length", 1).alias("length"), F.round(F.col("area") / 1e4, 0).alias("hectares"), _text(F.col("tags")).alias("kept"))
+
+
+def plain_shapes_to_zoom(spark: Spark, folder: str) -> DataFrame:
+    """Points and lines that show by zoom 13, with keys cut to their zoom."""
+    style = Style(parent_tags=(), relation_tags=(), multipolygons=False, boundaries=False, polygon_tags={})
+    made = geometry.process_geometry(_nodes(spark, folder, "tags"), _ways(spark, folder, "tags"), _relations(spark, folder, "tags"), style, max_zoom=13)
+    return made.select("type", "id", "minzoom", "zorder")
+
+
 def geometries_to_zoom(spark: Spark, folder: str) -> DataFrame:
     nodes, ways, relations = _nodes(spark, folder, "tags"), _ways(spark, folder, "tags"), _relations(spark, folder, "tags")
     return geometry.process_geometry(nodes, ways, relations, max_zoom=14).select("type", "id", "quadtree", "minzoom")
@@ -353,13 +375,87 @@ def multipolygons(spark: Spark, folder: str) -> DataFrame:
 
 def geometry_wkb(spark: Spark, folder: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("point"), F.lit("line"), F.lit("polygon"), F.lit("multipolygon")), F.col("type") - 2)
-    return _shapes(spark, folder).select("type", "id", wkb(kind, F.col("lonlats"), F.col("rings"), 4326).alias("wkb"))
+    return _shapes(spark, folder).select("type", "id", wkb(kind, F.col("lonlats"), F.col("rings"), 4326, backwards=F.col("reversed")).alias("wkb"))
 
 
 def geojson(spark: Spark, folder: str) -> DataFrame:
     return geometry.as_geojson(_shapes(spark, folder))
 
 
+def dataset_update(spark: Spark, folder: str) -> DataFrame:
+    """Elements of a dataset that was started from the base tables and then updated by all change files."""
+    root = f"{shared_dir(spark)}/tilewright/dataset-{uuid.uuid4().hex}"
+    base = _nodes(spark, folder, "quadtree", "info", "tags").select(F.lit(0).alias("type"), "*")
+    for kind, part in ((1, _ways(spark, folder, "quadtree", "info", "tags")), (2, _relations(spark, folder, "quadtree", "info", "tags"))):
+        base = base.unionByName(part.select(F.lit(kind).alias("type"), "*"), allowMissingColumns=True)
+    snapshot.init_snapshot(base.withColumn("changetype", F.lit(0)), table(spark, folder, "tiles"), root, 1)
+    changes = table(spark, folder, "osm_changes").where("changetype in (1, 4, 5) and id is not null")
+    snapshot.update_snapshot(changes, root, 2)
+    return snapshot.read_snapshot(spark, root).select("type", "id", "changetype", F.col("info.version").alias("version"))
+
+
+def tiles_of_ring(spark: Spark, folder: str) -> DataFrame:
+    """How tiles and the ring meet: 0 not by their extents, 1 tile around ring, 2 tile's centre inside, 3 edges cross, 4 not at all."""
+    tiles = table(spark, folder, "tiles").select("tile_qt").distinct().where("tile_qt >= 0")
+    return tiles.select("tile_qt", meets_ring(Q.tile_bbox("tile_qt", 0.05), RING).cast("int").alias("code"))
+
+
+def way_node_pairs(spark: Spark, folder: str) -> DataFrame:
+    return keys.way_nodes(_ways(spark, folder))
+
+
+def box_tests(spark: Spark, folder: str) -> DataFrame:
+    """Which ways' boxes touch the area, and which lie in it."""
+    boxes = keys.way_boxes(_ways(spark, folder), _nodes(spark, folder)).where("found > 0").select("id", F.struct("minx", "miny", "maxx", "maxy").alias("b"))
+    return boxes.select("id", boxes_touch(F.col("b"), BOX).alias("touches"), box_contains(BOX, F.col("b")).alias("inside"))
+
+
+def tag_edits(spark: Spark, folder: str) -> DataFrame:
+    """Tags without ``note``, with ``checked`` set, and the first and last ``name``."""
+    tags = F.col("tags")
+    edited = T.set_tag(T.remove_tag(tags, "note"), "checked", T.find_tag(tags, "highway"))
+    return _elements(spark, folder, "tags").select("type", "id", _text(edited).alias("edited"), T.find_tag(tags, "name").alias("first_name"), T.last_tag(tags, "name").alias("last_name"), T.has_tag(tags, "highway", "residential").alias("residential"))
+
+
+def tags_packed(spark: Spark, folder: str) -> DataFrame:
+    """Tags packed into bytes and unpacked again; nulls come back as empty texts."""
+    packed = packed_tags(F.col("tags"))
+    return _elements(spark, folder, "tags").where("tags is not null").select("type", "id", F.length(packed).alias("bytes"), _text(unpacked_tags(packed)).alias("tags"))
+
+
+def members_fixed(spark: Spark, folder: str) -> DataFrame:
+    """Members' roles without delete characters."""
+    roles = F.array_join(F.transform(T.fix_members(F.col("members")), lambda m: F.coalesce(m["role"], F.lit("-"))), ";")
+    return _relations(spark, folder).select("id", roles.alias("roles"), T.roles_have_delete_character(F.col("members")).alias("odd"))
+
+
+def dates(spark: Spark, folder: str) -> DataFrame:
+    return _elements(spark, folder, "info").select("type", "id", date_text(F.col("info.timestamp")).alias("at"))
+
+
+def short_keys(spark: Spark, folder: str) -> DataFrame:
+    """Keys in 48 bits and back."""
+    return _keys(spark, folder).select("type", "id", short_key(F.col("quadtree")).alias("short"), long_key(short_key(F.col("quadtree"))).alias("long"))
+
+
+def keys_of_elements(spark: Spark, folder: str) -> DataFrame:
+    """Elements with the keys of three stores that must not overlap, and must have a key for each."""
+    stores = [_elements(spark, folder, "quadtree").where(F.col("type") == k).select("type", "id", F.coalesce("quadtree", F.lit(-1)).alias("quadtree")) for k in range(3)]
+    return tiling.with_keys(_elements(spark, folder, "info"), tiling.joined_keys(stores)).select("type", "id", "quadtree")
+
+
+def id_positions(spark: Spark, folder: str) -> DataFrame:
+    """Place of each element in the order of (type, id); one that came twice would be an error."""
+    return tiling.numbered_blocks(_elements(spark, folder), 1, strict=True).select("type", "id", F.col("block").alias("place"))
+
+
+def mercator_boxes(spark: Spark, folder: str) -> DataFrame:
+    """Boxes of ways in metres."""
+    boxes = keys.way_boxes(_ways(spark, folder), _nodes(spark, folder)).where("found > 0")
+    b = mercator_box(F.struct("minx", "miny", "maxx", "maxy"))
+    return boxes.select("id", *[F.round(b[c], 1).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
 def stream_update(spark: Spark, folder: str) -> DataFrame:
     """Newest change of each element, from the change files as a stream."""
     schema = table(spark, folder, "osm_changes").schema
@@ -373,6 +469,7 @@ QUERIES = {
         qt_histogram, qt_rollup, qt_fold_small, group_tiles, tiles_of_box, way_bbox, way_quadtree, node_quadtree, relation_quadtree, assign_tile, cluster_counts, block_8000, split_id_key,
         filter_tags, polygon_tags, zorder, minzoom_tag, tags_json, tags_hstore, tags_fixed, parent_tags, relation_tags, mercator_forward, line_lengths, ring_areas, bbox_extract, poly_extract,
         filter_members, idset_invert, dedupe_version, overlay_merge, overlay_apply, snapshot_asof, apply_change, original_rows, index_lookup, change_tiles, change_keys, dataset_diff,
-        renamed_users, geometries, geometries_to_zoom, multipolygons, geometry_wkb, geojson, stream_update,
+        renamed_users, geometries, plain_shapes, plain_shapes_to_zoom, geometries_to_zoom, multipolygons, geometry_wkb, geojson, stream_update, dataset_update, tiles_of_ring, way_node_pairs, box_tests,
+        tag_edits, tags_packed, members_fixed, dates, short_keys, keys_of_elements, id_positions, mercator_boxes,
     )
 }

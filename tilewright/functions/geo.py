@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,17 @@ def inverse_mercator(x: Column, y: Column) -> Column:
     return F.struct(from_degrees(x / EARTH_WIDTH * 180.0).alias("lon"), from_degrees(lat).alias("lat"))
 
 
+def mercator_box(b: Column) -> Column:
+    """struct minx, miny, maxx, maxy in metres of a box (struct of the same names, degrees x 1e7)."""
+    low, high = mercator(b["minx"], b["miny"]), mercator(b["maxx"], b["maxy"])
+    return F.struct(low["x"].alias("minx"), low["y"].alias("miny"), high["x"].alias("maxx"), high["y"].alias("maxy"))
+
+
+def epsg_code(transform: bool) -> int:
+    """Number of the reference system: web mercator, or degrees."""
+    return 3857 if transform else 4326
+
+
 def in_box(lon: Column, lat: Column, box: tuple[int, int, int, int]) -> Column:
     """Closed on all sides."""
     return lon.between(box[0], box[2]) & lat.between(box[1], box[3])
@@ -130,7 +142,8 @@ def ring_area(lonlats: Column) -> Column:
 
 
 def ring_centroid(lonlats: Column) -> Column:
-    """struct lon, lat of the area's centroid; of the first point if the ring has no area."""
+    """struct lon, lat of the area's centroid, in mercator metres and back; the middle of two points, the first of a ring without
+    area; null without points."""
     points = _metres(lonlats)
     cross = lambda p: p["a"]["x"] * p["b"]["y"] - p["a"]["y"] * p["b"]["x"]
     sums = F.aggregate(
@@ -138,7 +151,11 @@ def ring_centroid(lonlats: Column) -> Column:
         F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
         lambda s, p: F.struct((s["w"] + cross(p)).alias("w"), (s["x"] + (p["a"]["x"] + p["b"]["x"]) * cross(p)).alias("x"), (s["y"] + (p["a"]["y"] + p["b"]["y"]) * cross(p)).alias("y")),
     )
-    return F.when(sums["w"] == 0, F.struct(F.get(lonlats, F.lit(0))["lon"].alias("lon"), F.get(lonlats, F.lit(0))["lat"].alias("lat"))).otherwise(inverse_mercator(sums["x"] / (sums["w"] * 3), sums["y"] / (sums["w"] * 3)))
+    at = lambda k: F.get(points, F.lit(k))
+    first = F.struct(F.get(lonlats, F.lit(0))["lon"].alias("lon"), F.get(lonlats, F.lit(0))["lat"].alias("lat"))
+    middle = inverse_mercator((at(0)["x"] + at(1)["x"]) / 2, (at(0)["y"] + at(1)["y"]) / 2)
+    whole = inverse_mercator(sums["x"] / (sums["w"] * 3), sums["y"] / (sums["w"] * 3))
+    return F.when(F.size(lonlats) == 2, middle).when((F.size(lonlats) > 2) & (sums["w"] != 0), whole).when(F.size(lonlats) > 0, first)
 
 
 def res_zoom(res: Column) -> Column:
@@ -158,29 +175,56 @@ def _head(kind: int, srid: int | None) -> bytes:
     return struct.pack(">BI", 0, kind) if srid is None else struct.pack(">BII", 0, kind | 0x20000000, srid)
 
 
-def _path(points: list) -> bytes:
-    return struct.pack(">I", len(points)) + b"".join(struct.pack(">dd", p["lon"] * 1e-7, p["lat"] * 1e-7) for p in points)
+def _corners(points: pa.StructArray, transform: bool) -> bytes:
+    """Big-endian x, y of all points, 16 bytes each."""
+    lon, lat = (points.field(c).to_numpy(zero_copy_only=False).astype(np.float64) * 1e-7 for c in ("lon", "lat"))
+    if transform:
+        with np.errstate(divide="ignore"):
+            lon, lat = lon / 180.0 * EARTH_WIDTH, np.log(np.tan((lat / 90.0 + 1.0) * (math.pi / 4))) / math.pi * EARTH_WIDTH
+    return np.stack([lon, lat], axis=1).astype(">f8").tobytes()
 
 
-def wkb(kind: Column, lonlats: Column, rings: Column, srid: int | None = None) -> Column:
-    """Big-endian WKB (EWKB with ``srid``) in degrees: ``point``, ``line``, ``polygon`` of lonlats, or ``multipolygon`` of ``rings``
-    (array of polygons, each an array of rings); null for other kinds."""
+def wkb(kind: Column, lonlats: Column, rings: Column, srid: int | None = None, *, transform: bool = False, backwards: Column | None = None) -> Column:
+    """Big-endian WKB (EWKB with ``srid``) in degrees, or in mercator metres with ``transform``: ``point``, ``line``, ``polygon`` of
+    lonlats (in reverse where ``backwards``), or ``multipolygon`` of ``rings`` (array of polygons, each an array of rings); null for
+    other kinds. A multipolygon of one part is a polygon, one of none an empty collection."""
 
     @F.arrow_udf("binary")
-    def pack(kinds: pa.Array, lines: pa.Array, areas: pa.Array) -> pa.Array:
-        out = []
-        for k, line, area in zip(kinds.to_pylist(), lines.to_pylist(), areas.to_pylist()):
-            if k == "point":
-                out.append(_head(1, srid) + struct.pack(">dd", line[0]["lon"] * 1e-7, line[0]["lat"] * 1e-7))
-            elif k == "line":
-                out.append(_head(2, srid) + _path(line))
-            elif k == "polygon":
-                out.append(_head(3, srid) + struct.pack(">I", 1) + _path(line))
-            elif k == "multipolygon":
-                parts = [struct.pack(">BII", 0, 3, len(p)) + b"".join(map(_path, p)) for p in area]
-                out.append(_head(6 if parts else 7, srid) + struct.pack(">I", len(parts)) + b"".join(parts))
+    def pack(kinds: pa.Array, lines: pa.Array, areas: pa.Array, turned: pa.Array) -> pa.Array:
+        sizes = lambda lists: lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat, ends = _corners(lines.flatten(), transform), np.concatenate([[0], np.cumsum(sizes(lines))])
+        polygons = areas.flatten()
+        ring_lists = polygons.flatten()
+        inner, inner_ends = _corners(ring_lists.flatten(), transform), np.concatenate([[0], np.cumsum(sizes(ring_lists))])
+        part_sizes, ring_counts = sizes(areas), sizes(polygons)
+        part, ring, out = 0, 0, []
+
+        def path(k: int) -> bytes:
+            a, b = int(inner_ends[k]), int(inner_ends[k + 1])
+            return struct.pack(">I", b - a) + inner[16 * a : 16 * b]
+
+        for k, name in enumerate(kinds.to_pylist()):
+            n, body = int(ends[k + 1] - ends[k]), flat[16 * int(ends[k]) : 16 * int(ends[k + 1])]
+            parts = []
+            for size in ring_counts[part : part + int(part_sizes[k])]:
+                parts.append(struct.pack(">I", int(size)) + b"".join(path(r) for r in range(ring, ring + int(size))))
+                ring += int(size)
+            part += int(part_sizes[k])
+            if name == "point":
+                out.append(_head(1, srid) + body[:16] if n else None)
+            elif name == "line":
+                out.append(_head(2, srid) + struct.pack(">I", n) + body)
+            elif name == "polygon":
+                if turned[k].as_py():
+                    body = np.frombuffer(body, ">f8").reshape(-1, 2)[::-1].tobytes()
+                out.append(_head(3, srid) + struct.pack(">II", 1, n) + body)
+            elif name == "multipolygon":
+                if len(parts) == 1:
+                    out.append(_head(3, srid) + parts[0])
+                else:
+                    out.append(_head(6 if parts else 7, srid) + struct.pack(">I", len(parts)) + b"".join(_head(3, None) + p for p in parts))
             else:
                 out.append(None)
         return pa.array(out, pa.binary())
 
-    return pack(kind, lonlats, rings)
+    return pack(kind, lonlats, rings, F.lit(False) if backwards is None else F.coalesce(backwards, F.lit(False)))

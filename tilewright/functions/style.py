@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import json
 from dataclasses import dataclass, field
 
 # Keys that make an element a feature.
@@ -109,7 +110,7 @@ RELATION_TAGS = (
 
 @dataclass(frozen=True)
 class Style:
-    """What to keep and how to judge it. ``other_keys`` None keeps every other key."""
+    """What to keep and how to judge it. ``other_keys`` None keeps every other key; ``all_objects`` keeps elements without a feature key too."""
 
     feature_keys: tuple[str, ...] = tuple(FEATURE_KEYS)
     other_keys: tuple[str, ...] | None = None
@@ -119,11 +120,52 @@ class Style:
     relation_tags: tuple[RelationTag, ...] = RELATION_TAGS
     min_zoom: tuple = tuple(MIN_ZOOM)
     multipolygons: bool = True
+    boundaries: bool = True
+    all_objects: bool = False
     min_length: float = 0.0
     min_area: float = 5.0
 
+    def to_json(self) -> dict:
+        """The style as plain values; ``from_json`` gives it back. Zooms and least sizes aren't part of it."""
+        ranks = lambda s: {v: k for k, v in enumerate(s.ranks)}
+        parents: dict[str, dict] = {}
+        for s in self.parent_tags:
+            entry = parents.setdefault(s.out_key, {"node_keys": [], "way_key": s.way_key, "way_priority": ranks(s)})
+            entry["node_keys"].append(s.node_key)
+        relations = [{"target_key": r.target, "source_filter": dict(r.where), "source_key": r.source, "type": r.how} for r in self.relation_tags]
+        polygons = {k: "all" if how == "all" else {how: list(vals)} for k, (how, vals) in self.polygon_tags.items()}
+        return {
+            "feature_keys": list(self.feature_keys), "other_keys": None if self.other_keys is None else list(self.other_keys), "drop_keys": sorted(self.drop_keys), "polygon_tags": polygons,
+            "parent_tags": parents, "relation_tag_spec": relations, "multipolygons": self.multipolygons, "boundary_relations": self.boundaries, "all_objs": self.all_objects,
+        }
+
+    @staticmethod
+    def from_json(value: dict, **more) -> Style:
+        """A style of plain values; what they lack, zooms and least sizes are the default's or those of ``more``."""
+        base = Style()
+        polygons = {k: ("all", []) if v == "all" else next((how, list(v[how])) for how in ("include", "exclude") if how in v) for k, v in value.get("polygon_tags", {}).items()} if "polygon_tags" in value else base.polygon_tags
+        parents = base.parent_tags
+        if "parent_tags" in value:
+            parents = tuple(ParentTag(out, node, e["way_key"], tuple(sorted(e.get("way_priority") or {}, key=(e.get("way_priority") or {}).get))) for out, e in value["parent_tags"].items() for node in e["node_keys"])
+        relations = base.relation_tags
+        if "relation_tag_spec" in value:
+            relations = tuple(RelationTag(r["target_key"], tuple(dict(r["source_filter"]).items()), r["source_key"], r["type"]) for r in value["relation_tag_spec"])
+        other = value.get("other_keys")
+        return Style(
+            tuple(value.get("feature_keys", base.feature_keys)), None if other is None else tuple(other), tuple(value.get("drop_keys") or ()), polygons, parents, relations,
+            multipolygons=value.get("multipolygons", True), boundaries=value.get("boundary_relations", True), all_objects=value.get("all_objs", False), **more,
+        )
+
 
 def read_min_zoom(path: str) -> tuple:
     """Rows (kind, key, value, zoom) of a CSV file; of rows that agree in the first three the first counts."""
-    with open(path, newline="", encoding="utf-8") as file:
-        return tuple((int(r[0]), r[1], r[2], int(r[3])) for r in csv.reader(file) if len(r) > 3)
+    from tilewright.sources.files import read_text
+
+    return tuple((int(r[0]), r[1], r[2], int(r[3])) for r in csv.reader(read_text(path).splitlines()) if len(r) > 3)
+
+
+def read_style(path: str, **more) -> Style:
+    """Style of a JSON file."""
+    from tilewright.sources.files import read_text
+
+    return Style.from_json(json.loads(read_text(path)), **more)

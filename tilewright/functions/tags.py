@@ -49,6 +49,15 @@ def has_delete_character(tags: Column) -> Column:
     return F.coalesce(F.exists(tags, lambda t: (F.instr(t["key"], chr(127)) > 0) | (F.instr(t["val"], chr(127)) > 0)), F.lit(False))
 
 
+def fix_members(members: Column) -> Column:
+    """Members whose roles have no delete characters."""
+    return F.transform(members, lambda m: m.withField("role", fix_text(m["role"])))
+
+
+def roles_have_delete_character(members: Column) -> Column:
+    return F.coalesce(F.exists(members, lambda m: F.instr(m["role"], chr(127)) > 0), F.lit(False))
+
+
 def is_dropped(key: Column, drop_keys: list[str]) -> Column:
     """The key itself, or its beginning through the first colon, is to be dropped."""
     return key.isin(*drop_keys) | F.concat(F.substring_index(key, ":", 1), F.lit(":")).isin(*drop_keys) & key.contains(":") if drop_keys else F.lit(False)
@@ -140,3 +149,8 @@ def _quoted(text: Column) -> Column:
 def as_hstore(tags: Column) -> Column:
     """hstore text ``"key"=>"val"`` joined by commas, in stored order; null values as NULL, tags without a key left out."""
     return F.array_join(F.transform(F.filter(tags, lambda t: t["key"].isNotNull()), lambda t: F.concat(_quoted(t["key"]), F.lit("=>"), F.coalesce(_quoted(t["val"]), F.lit("NULL")))), ",")
+
+
+def shows_by(tags: Column, kinds: list[int], table: tuple, zoom: int) -> Column:
+    """Whether the tags alone let an element show at ``zoom``, before it has a geometry; false for tags without a zoom."""
+    return F.coalesce(tag_zoom(tags, kinds, table) <= zoom, F.lit(False))

@@ -78,6 +78,28 @@ def packed_tags(tags: Column) -> Column:
     return pack(tags)
 
 
+def unpacked_tags(data: Column) -> Column:
+    """Tags of ``packed_tags``; bytes that end inside a text are an error."""
+
+    @F.arrow_udf("array<struct<key:string,val:string>>")
+    def unpack(rows: pa.Array) -> pa.Array:
+        out = []
+        for row in rows:
+            raw, at, texts = row.as_py(), 0, []
+            while raw is not None and at < len(raw):
+                end = at + 2 + int.from_bytes(raw[at : at + 2], "big")
+                if at + 2 > len(raw) or end > len(raw):
+                    raise ValueError("packed tags end inside a text")
+                texts.append(raw[at + 2 : end].decode("utf-8", "replace"))
+                at = end
+            if len(texts) % 2:
+                raise ValueError("packed tags end inside a tag")
+            out.append(None if raw is None else [{"key": k, "val": v} for k, v in zip(texts[::2], texts[1::2])])
+        return pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("val", pa.string())])))
+
+    return unpack(data)
+
+
 def packed_hstore(tags: Column) -> Column:
     """Binary hstore: the number of tags, then for each the lengths (four bytes) and bytes of key and value; -1 for a null value."""
 

@@ -12,10 +12,10 @@ CHECKS = ("changetype", "version", "timestamp", "changeset", "user_id", "tags",
 def compare(left: DataFrame, right: DataFrame) -> DataFrame:
     """(type, id, reason): ``only_left``, ``only_right``, ``same``, or the first of CHECKS that differs (null equals null).
 
-    Only columns that both tables have are compared; info's fields one by one. Each table has one row per (type, id).
+    Only columns that both tables have are compared; info's fields one by one, tags in any order. Each table has one row per (type, id).
     """
     def view(df: DataFrame, side: str) -> DataFrame:
-        fields = {c: F.col(f"info.{c}") if c in ("version", "timestamp", "changeset", "user_id") else F.col(c) for c in CHECKS}
+        fields = {c: F.col(f"info.{c}") if c in ("version", "timestamp", "changeset", "user_id") else F.array_sort(c) if c == "tags" else F.col(c) for c in CHECKS}
         names = [c for c in CHECKS if (c in left.columns and c in right.columns) or (c in ("version", "timestamp", "changeset", "user_id") and "info" in left.columns and "info" in right.columns)]
         return df.select("type", "id", F.struct(*[fields[c].alias(c) for c in names]).alias(side))
 

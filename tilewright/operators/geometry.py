@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import tags as T
 from tilewright.functions.geo import area_zoom, boxes_touch, in_box, length_zoom, line_length, ring_area
-from tilewright.functions.quadtree import key_of_box, tile_round
+from tilewright.functions.quadtree import key_of_box, tile_round, tile_xyz
 from tilewright.functions.style import ParentTag, RelationTag, Style
 from tilewright.operators.multipolygon import build_multipolygons
 
@@ -95,7 +95,8 @@ def make_geometries(nodes: DataFrame, ways: DataFrame, style: Style, box: tuple[
     A way needs two places; one that is closed over at least four, with a polygon tag, is a polygon. With a box, only what touches it.
     """
     keep = T.filter_tags(F.col("tags"), list(style.feature_keys), None if style.other_keys is None else list(style.other_keys), list(style.drop_keys))
-    picked = lambda df: df.withColumn("layer", T.layer(F.col("tags"))).withColumn("feature", T.is_feature(F.col("tags"), list(style.feature_keys))).where("feature").withColumn("tags", keep)
+    wanted = F.size(keep) > 0 if style.all_objects else T.is_feature(F.col("tags"), list(style.feature_keys))
+    picked = lambda df: df.withColumn("layer", T.layer(F.col("tags"))).where(wanted).withColumn("tags", keep)
     points = picked(nodes.where("lon is not null and lat is not null"))
     if box:
         points = points.where(in_box(F.col("lon"), F.col("lat"), box))
@@ -134,25 +135,53 @@ def with_keys_and_zoom(shapes: DataFrame, style: Style, max_zoom: int | None = N
 def process_geometry(nodes: DataFrame, ways: DataFrame, relations: DataFrame, style: Style | None = None, box: tuple[int, int, int, int] | None = None, max_zoom: int | None = None) -> DataFrame:
     """All geometries of elements: tags of parents and relations are added first, so that they count in what follows."""
     style = style or Style()
-    placed = ways_with_nodes(ways, nodes)
     tagged = nodes.where("size(tags) > 0")
     if style.parent_tags:
         tagged = _with_extra(tagged, parent_tags(tagged, ways, style.parent_tags))
+    wanted = ways
+    if max_zoom is not None:
+        # what its tags alone keep from showing needs no geometry; tags of relations may still let a way show, and rings need all ways
+        tagged = tagged.where(T.shows_by(F.col("tags"), [0], style.min_zoom, max_zoom))
+        if not (style.relation_tags or style.multipolygons or style.boundaries):
+            wanted = ways.where(T.shows_by(F.col("tags"), [1, 2], style.min_zoom, max_zoom))
+    placed = ways_with_nodes(wanted, nodes)
     if style.relation_tags:
         placed = _with_extra(placed, relation_tags(relations, style.relation_tags))
     shapes = make_geometries(tagged, placed, style, box)
-    if style.multipolygons:
+    if style.multipolygons or style.boundaries:
         made = build_multipolygons(relations, placed, style, box).where("rings is not null")
         shapes = shapes.unionByName(made.select(F.lit(MULTIPOLYGON).alias("type"), "id", "tags", "layer", F.lit(None).cast("array<struct<lon:bigint,lat:bigint>>").alias("lonlats"), "rings", T.z_order(F.col("tags")).alias("zorder"), F.lit(None).cast("double").alias("length"), "area", F.lit(None).cast("boolean").alias("reversed")))
     return with_keys_and_zoom(shapes, style, max_zoom)
 
 
 def as_geojson(shapes: DataFrame) -> DataFrame:
-    """(type, id, feature): GeoJSON text of each shape, degrees with seven digits; polygons keep their direction."""
-    place = lambda p: F.array(F.round(p["lon"] * 1e-7, 7), F.round(p["lat"] * 1e-7, 7))
+    """(type, id, feature): GeoJSON text of each shape, degrees with seven digits.
+
+    Beside id, properties and geometry a feature has its quadtree as x, y, z, its zoom if it has one, its layer if that isn't 0 or is tagged 0,
+    its box, length or area with one digit, and its drawing order if that isn't 0. A ring that runs backwards is turned; a multipolygon of
+    one part is a polygon.
+    """
+    degrees = lambda v: F.round(v * 1e-7, 7)
+    place = lambda p: F.array(degrees(p["lon"]), degrees(p["lat"]))
     line = F.transform("lonlats", place)
     rings = F.transform("rings", lambda poly: F.transform(poly, lambda ring: F.transform(ring, place)))
+    turned = F.when(F.coalesce("reversed", F.lit(False)), F.reverse(line)).otherwise(line)
     text = lambda kind, coordinates: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(coordinates), F.lit("}"))
-    shape = F.when(F.col("type") == POINT, text("Point", F.get(line, F.lit(0)))).when(F.col("type") == LINE, text("LineString", line)).when(F.col("type") == POLYGON, text("Polygon", F.array(line))).otherwise(text("MultiPolygon", rings))
-    feature = F.concat(F.lit('{"type":"Feature","id":'), F.col("id").cast("string"), F.lit(',"properties":'), T.as_json(F.col("tags")), F.lit(',"geometry":'), shape, F.lit("}"))
-    return shapes.select("type", "id", feature.alias("feature"))
+    shape = F.when(F.col("type") == POINT, text("Point", F.get(line, F.lit(0)))).when(F.col("type") == LINE, text("LineString", line)).when(F.col("type") == POLYGON, text("Polygon", F.array(turned)))
+    shape = shape.when(F.size("rings") == 1, text("Polygon", F.get(rings, F.lit(0)))).otherwise(text("MultiPolygon", rings))
+    outline = F.when(F.col("type") == MULTIPOLYGON, F.flatten(F.transform("rings", lambda poly: F.get(poly, F.lit(0))))).otherwise(F.col("lonlats"))
+    b = box_of(outline)
+    box = F.to_json(F.array(*[degrees(b[c]) for c in ("minx", "miny", "maxx", "maxy")]))
+    number = lambda name, value, shown: F.when(shown, F.concat(F.lit(f',"{name}":'), value.cast("string"))).otherwise(F.lit(""))
+    parts = [F.lit('{"type":"Feature","id":'), F.col("id").cast("string")]
+    if "quadtree" in shapes.columns:
+        at = tile_xyz("quadtree")
+        parts.append(F.coalesce(F.concat(F.lit(',"quadtree":'), F.to_json(F.array(at["x"], at["y"], at["z"]))), F.lit("")))
+    if "minzoom" in shapes.columns:
+        parts.append(number("minzoom", F.col("minzoom"), F.col("minzoom") >= 0))
+    parts += [F.lit(',"properties":'), F.coalesce(T.as_json(F.col("tags")), F.lit("{}"))]
+    if "layer" in shapes.columns:
+        parts.append(number("layer", F.col("layer"), (F.col("layer") != 0) | T.has_tag(F.col("tags"), "layer", "0")))
+    parts += [F.lit(',"geometry":'), shape, F.lit(',"bbox":'), box]
+    parts += [number("way_length", F.round("length", 1), F.col("length").isNotNull()), number("way_area", F.round("area", 1), F.col("area").isNotNull()), number("z_order", F.col("zorder"), F.col("zorder") != 0), F.lit("}")]
+    return shapes.select("type", "id", F.concat(*parts).alias("feature"))

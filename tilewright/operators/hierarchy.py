@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.plans.lineage import cut, task_count
+from tilewright.plans.lineage import cut, forget, task_count
 
 #: Siblings are numbered in so many buckets a parent for each this many nodes; paths are made in ranges of as many nodes.
 RANGE = 50_000
@@ -59,8 +59,12 @@ def _preorder(sizes: DataFrame, rounds: list[DataFrame], nodes: int) -> DataFram
     totals = totals.select(F.col("parent").alias("p"), F.col("bucket").alias("b"), before.alias("before"))
     kin = kin.withColumn("within", within)
     start = kin.join(totals, kin["parent"].eqNullSafe(totals["p"]) & (kin["bucket"] == totals["b"])).select("node", (F.col("within") + F.col("before") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("pre"))
+    before = None
     for k, pointers in enumerate(rounds[:-1]):
         start = cut(start, "preorder")
+        if before is not None:
+            forget(before)
+        before = start
         up = pointers.where(F.col("hops") == 2**k).select("node", "ptr").join(start.select(F.col("node").alias("ptr"), F.col("pre").alias("above")), "ptr").select("node", "above")
         start = start.join(up, "node", "left").select("node", (F.col("pre") + F.coalesce("above", F.lit(0))).alias("pre"))
     return start
@@ -86,6 +90,8 @@ def hierarchy(links: DataFrame, *, paths: bool = True) -> DataFrame:
     sizes = tree.select("node", "parent", "size")
     start = _preorder(sizes, rounds, nodes)
     known = cut(tree.join(start, "node").select(F.col("node").alias("id"), F.col("ptr").alias("root_id"), F.col("hops").alias("depth"), "pre", "size"), "ranges")
+    for pointers in rounds[:-1]:
+        forget(pointers)
     stuck = state.where("not done").select(F.col("node").alias("id"), F.lit(-1).cast("bigint").alias("root_id"), F.lit(-1).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("pre"), F.lit(None).cast("bigint").alias("size"), F.lit("cycle").alias("path"))
     if not paths:
         return known.withColumn("path", F.lit(None).cast("string")).unionByName(stuck)

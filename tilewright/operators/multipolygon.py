@@ -120,7 +120,8 @@ def build_multipolygons(relations: DataFrame, ways: DataFrame, style: Style, box
     grouped by id; its size is that of the relation.
     """
     kind = T.find_tag(F.col("tags"), "type")
-    wanted = relations.where(kind.isin("multipolygon", "boundary")).select("id", "tags", "members")
+    kinds = [k for k, on in (("multipolygon", style.multipolygons), ("boundary", style.boundaries)) if on]
+    wanted = relations.where(kind.isin(*kinds) if kinds else F.lit(False)).select("id", "tags", "members")
     flat = wanted.select("id", F.posexplode("members").alias("pos", "m")).where("m.type = 1")
     role = F.when(F.coalesce("m.role", F.lit("")).isin("", "outer"), 0).when(F.col("m.role") == "inner", 1)
     flat = flat.select("id", "pos", F.col("m.ref").alias("way_id"), role.alias("side")).where("side is not null")

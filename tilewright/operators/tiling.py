@@ -57,38 +57,50 @@ class TileTree:
     def groups(self, target: int, least: int, step: int = 50) -> dict[int, int]:
         """(tile -> total) of greedy groups of about ``target``, each one subtree or what is left at a tile.
 
-        In pre-order, a tile is taken if what remains below it lies in a window around the target, or can't be divided; the
-        window widens by ``step`` until everything is taken. What is left in the end belongs to the root.
+        In pre-order, a tile that has rows of its own is taken if what remains at and below it lies in a window around the target, or
+        can't be divided: it is all its own, or what remains below each child is at most ``least``. Passes over the tree repeat until one
+        takes nothing, then the window widens by ``step`` at both ends (never below ``least``). Once less than the window's
+        upper end remains, or only the root's own rows, it is the root's group; so is what no window has taken.
         """
         left = dict(self.total)
         taken: dict[int, int] = {}
         low, high = target - step, target + step
-        while left.get(0, 0) > 0 and high <= step * target:
-            stack = [0]
-            while stack:
-                qt = stack.pop()
-                n = left.get(qt, 0)
-                if n <= 0:
-                    continue
-                below = [c for c in self.children[qt] if left.get(c, 0) > 0]
-                fits = n <= high or n == self.own[qt] or all(left[c] <= least for c in below)
-                if n >= max(low, least) and (self.own[qt] or n == self.total[qt] or qt == 0) and fits:
-                    taken[qt] = taken.get(qt, 0) + n
-                    for level in range((qt & 31) + 1):
-                        left[self.up(qt, level)] -= n
-                    clear = list(self.children[qt])
-                    while clear:
-                        c = clear.pop()
-                        left[c] = 0
-                        clear.extend(self.children[c])
-                    left[qt] = 0
-                else:
-                    stack.extend(reversed(below))
-            low, high = low - step, high + step
+        while left.get(0, 0) > 0:
+            while left[0] >= high and left[0] != self.own[0] and self._pass(left, taken, low, high, least):
+                pass
+            if left[0] < high or left[0] == self.own[0]:
+                break
+            low, high = max(least, low - step), high + step
+            if high > step * target:
+                break
         if left.get(0, 0) > 0:
             taken[0] = taken.get(0, 0) + left[0]
         return taken
 
+    def _pass(self, left: dict[int, int], taken: dict[int, int], low: int, high: int, least: int) -> bool:
+        """Take what fits the window, once in pre-order; whether anything was taken."""
+        some = False
+        stack = [0]
+        while stack:
+            qt = stack.pop()
+            n = left[qt]
+            if n < low or n <= 0:
+                continue
+            below = self.children[qt]
+            if self.own[qt] and (n == self.own[qt] or n <= high or all(left[c] <= least for c in below)):
+                taken[qt] = taken.get(qt, 0) + n
+                some = True
+                for level in range((qt & 31) + 1):
+                    left[self.up(qt, level)] -= n
+                clear = list(below)
+                while clear:
+                    c = clear.pop()
+                    left[c] = 0
+                    clear.extend(self.children[c])
+            else:
+                stack.extend(reversed(below))
+        return some
+
 
 def without_light(histogram: DataFrame, least: int) -> DataFrame:
     """Histogram in which each greatest subtree with a total below ``least`` is one tile, its root; weights aren't negative.

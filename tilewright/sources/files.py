@@ -54,6 +54,13 @@ def remove(path: str) -> None:
         system.delete_file(name)
 
 
+def listing(folder: str) -> list[str]:
+    """Paths of the files directly in a folder."""
+    system, name = _place(folder)
+    found = system.get_file_info(fs.FileSelector(name))
+    return sorted(join(folder, f.base_name) for f in found if f.type == fs.FileType.File)
+
+
 def read_text(path: str) -> str:
     with open_input(path) as file:
         return file.read().decode("utf-8")

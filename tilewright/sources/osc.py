@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,21 +43,27 @@ def _row(kind: int, change: int) -> Column:
     return F.coalesce(F.transform(name, row), F.array().cast(f"array<struct<{_ROW}>>")).cast(f"array<struct<{_ROW}>>")
 
 
-def read_osc(spark: SparkSession, paths: str | list[str], file_idx: int = 0) -> DataFrame:
+def read_osc(spark: SparkSession, paths: str | list[str] | dict[str, int], file_idx: int = 0) -> DataFrame:
     """Rows of change files (``.osc``, also compressed) with ``file_idx`` and ``pos``, which grows along a file for rows of one
-    kind and action.
+    kind and action. ``paths`` may name each file's own ``file_idx``; the files are still read together.
 
     Read once for each action, so that a row is one such block of a file, not the whole file. Quadtrees are -1: a change
     file has none.
     """
+    which = F.lit(file_idx)
+    if isinstance(paths, dict):
+        names = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        which = F.element_at(F.create_map(*[F.lit(v) for p, k in paths.items() for v in (quote(p.rpartition("/")[2]), k)]), names)
+        if len({p.rpartition("/")[2] for p in paths}) < len(paths):
+            raise ValueError("change files that are read together need different names")
     out = None
     for action, change in ACTIONS.items():
-        blocks = spark.read.format("xml").option("rowTag", action).schema(_SCHEMA).load(paths)
-        numbered = blocks.withColumn("block", F.monotonically_increasing_id())
-        every = numbered.select("block", F.explode(F.concat(*[_row(kind, change) for kind in range(3)])).alias("e")).select("block", "e.*")
+        blocks = spark.read.format("xml").option("rowTag", action).schema(_SCHEMA).load(list(paths) if isinstance(paths, dict) else paths)
+        numbered = blocks.withColumn("block", F.monotonically_increasing_id()).withColumn("file_idx", which)
+        every = numbered.select("block", "file_idx", F.explode(F.concat(*[_row(kind, change) for kind in range(3)])).alias("e")).select("block", "file_idx", "e.*")
         rows = every.withColumn("pos", F.col("block").cast("decimal(38,0)") * (1 << 31) + F.col("pos")).drop("block")
         out = rows if out is None else out.unionByName(rows)
-    return out.select(*COLUMNS, F.lit(file_idx).alias("file_idx"), "pos")
+    return out.select(*COLUMNS, "file_idx", "pos")
 
 
 def read_ring(path: str) -> list[tuple[int, int]]:

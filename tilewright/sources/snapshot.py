@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.geo import tile_meets_ring
 from tilewright.functions.quadtree import overlaps_tile
+from tilewright.functions.text import read_state
 from tilewright.operators import overlay
 from tilewright.operators.extract import area_ids, filter_members
 from tilewright.operators.tiling import clustered
@@ -108,6 +109,18 @@ def read_snapshot(spark: SparkSession, root: str, *, box: Box | None = None, rin
     return base if deltas is None else overlay.overlay(base, deltas, root=True)
 
 
+def tile_count(spark: SparkSession, root: str, *, box: Box | None = None) -> int:
+    """Number of tiles of the base, of a box if there is one."""
+    tiles = spark.read.parquet(files.join(root, "tiles")).select("tile_qt").distinct()
+    return (tiles if box is None else tiles.where(overlaps_tile("tile_qt", *box))).count()
+
+
+def ids_of_area(spark: SparkSession, root: str, box: Box, ring: list[tuple[int, int]] | None = None, *, as_of: int | None = None) -> DataFrame:
+    """(type, id) of what belongs to an area of the dataset; see ``extract.area_ids``."""
+    rows = cut(read_snapshot(spark, root, box=box, ring=ring, as_of=as_of), "area")
+    return area_ids(*(rows.where(F.col("type") == k) for k in range(3)), box, ring)
+
+
 def tiles_to_read(root: str, newest: DataFrame) -> DataFrame:
     """Tiles that an update has to read: those that hold what new keys depend on, or relations with such members."""
     spark = newest.sparkSession
@@ -134,11 +147,14 @@ def update_snapshot(changes: DataFrame, root: str, end_date: int, state: int | N
     now = cut(_of_tiles(spark, root, cut(tiles_to_read(root, newest), "tiles"), _numbers(root, None)), "now")
     pick = lambda kind, *columns: now.where(F.col("type") == kind).select("id", "quadtree", *columns)
     keys = cut(overlay.changed_keys(pick(0, "lon", "lat"), pick(1, "refs"), pick(2, "members"), newest, most_missing=most_missing), "changed")
+    # what has no key, as nodes without a place, belongs to the root
+    keys = keys.withColumn("quadtree", F.when((F.col("changetype") > overlay.REMOVE) & (F.col("quadtree") < 0), F.lit(0)).otherwise(F.col("quadtree")).cast("bigint"))
     tiles = spark.read.parquet(files.join(root, "tiles")).select("tile_qt").distinct()
     placed = overlay.change_tiles(keys, now.select("type", "id", "tile_qt"), tiles)
     content = now.join(newest.select("type", "id"), ["type", "id"], "left_anti").select(*COLUMNS).unionByName(newest.select(*COLUMNS))
     rest = [c for c in COLUMNS if c not in ("changetype", "quadtree")]
-    rows = placed.join(content.select(*rest), ["type", "id"], "left").select(*COLUMNS, "tile_qt")
+    # a changed way may name nodes that are nowhere: these get no row
+    rows = placed.join(content.select(*rest, F.lit(True).alias("_there")), ["type", "id"], "left").where(F.col("_there") | F.col("changetype").isin(overlay.DELETE, overlay.REMOVE)).select(*COLUMNS, "tile_qt")
     name = f"delta/file_idx={number}"
     rows.repartition("tile_qt").sortWithinPartitions("tile_qt", "type", "id").write.mode("overwrite").parquet(files.join(root, name))
     made = spark.read.parquet(files.join(root, name))
@@ -149,6 +165,32 @@ def update_snapshot(changes: DataFrame, root: str, end_date: int, state: int | N
     return entry
 
 
+def new_changes(root: str, folder: str, *, merge: bool = False, most_bytes: int = 100 * 1024 * 1024) -> list[list[tuple[str, int, int]]]:
+    """Change files (path, sequence, time) of a folder that are newer than the dataset's state, in groups that make one delta each: every
+    file alone, or with ``merge`` (or the setting MergeOscFiles) neighbours of ``most_bytes`` together at most.
+
+    Files are named by their sequence number (``2619.osc.gz``), with a state file beside each (``2619.state.txt``).
+    """
+    state = file_list(root)[-1]["State"]
+    merge = merge or bool(settings(root).get("MergeOscFiles"))
+    found = []
+    for path in files.listing(folder):
+        name = path.rpartition("/")[2]
+        number, _, rest = name.partition(".")
+        if rest.startswith("osc") and number.isdigit() and int(number) > state:
+            about = read_state(files.read_text(path[: -len(rest)] + "state.txt"))
+            found.append((path, int(number), about["timestamp"], files.size_of(path)))
+    groups: list[list[tuple[str, int, int]]] = []
+    total = 0
+    for path, number, at, size in sorted(found, key=lambda f: f[1]):
+        if not merge or not groups or total + size > most_bytes:
+            groups.append([])
+            total = 0
+        groups[-1].append((path, number, at))
+        total += size
+    return groups
+
+
 def drop_last(root: str) -> dict:
     """Take the newest delta away again."""
     known = file_list(root)
