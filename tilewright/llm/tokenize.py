@@ -7,6 +7,7 @@ import json
 import os
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -64,8 +65,8 @@ class MergeAutomaton:
     transition; the table is filled by undoing them from the later token on, at the first use of a transition.
 
     As each prefix of a word has one accepted sequence, the state after each byte is a single token, found among the
-    tokens ending there by one look at the table each. The arcs' labels, followed back from the last state, are the
-    word's tokens.
+    tokens ending there by one look at the table each. Which tokens end at each byte comes from one pass of a compiled
+    matcher of all labels. The arcs' labels, followed back from the last state, are the word's tokens.
     """
 
     def __init__(self, merges: list[tuple[bytes, bytes]], ids: dict[bytes, int]):
@@ -78,7 +79,11 @@ class MergeAutomaton:
         self.merged = {}
         for k, (a, b) in enumerate(self.parts[256:], 256):
             self.merged.setdefault((a, b), k)
-        self.longest = max(map(len, self.labels))
+        self.lengths = list(map(len, self.labels))
+        self.ends = ahocorasick.Automaton()
+        for label, k in self.number.items():
+            self.ends.add_word(label.decode("latin-1"), (k, len(label)))
+        self.ends.make_automaton()
         self.table: dict[tuple[int, int], bool] = {}
 
     def step(self, state: int, token: int) -> bool:
@@ -103,18 +108,16 @@ class MergeAutomaton:
                 until, right = right + 1, self.parts[right][0]
 
     def encode_word(self, word: bytes) -> list[int]:
-        number, longest, step = self.number, self.longest, self.step
-        states = [-1]
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = number.get(word[start:end])
-                if token is not None and (start == 0 or step(states[start], token)):
-                    states.append(token)
-                    break
+        step = self.step
+        states = [-1] * (len(word) + 1)
+        for last, (token, size) in self.ends.iter(word.decode("latin-1")):
+            start = last + 1 - size
+            if states[last + 1] < 0 and (start == 0 or step(states[start], token)):
+                states[last + 1] = token
         out, end = [], len(word)
         while end:
             out.append(self.ids[states[end]])
-            end -= len(self.labels[states[end]])
+            end -= self.lengths[states[end]]
         return out[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
