@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.llm.mojibake import garbled_documents, restored_documents, undo_utf8
+from tilewright.llm.mojibake import garbled_documents, garbled_lists, garbled_words, restored_documents, undo_utf8
 from tilewright.llm.seen import Seen, hash_of
 
 CLEAN = ["Das Gebäude steht über der Straße.", "Le sentier est étroit, déjà signalé – l’allée.", "Граница района идёт через старый памятник.", "Zażółć granicę na mapie, proszę, już łąka.", "ATENÇÃO: IRMÃ, AMANHÃ VEJO O MAPÃO", "“No lock” costs 5 € \U0001f642", "線路の名前を直しました、確認してください。"]
@@ -110,3 +110,9 @@ def test_map_of_tokens(spark):
 def test_documents_without_an_id_are_told_apart(spark):
     df = spark.createDataFrame([(None, "fÃ¼r"), (None, "fÃ¼r"), (None, "grÃ¼n"), (None, "für grün")] + [(k, "für grün") for k in range(9)], "doc_id bigint, text string")
     assert [r.doc_id for r in garbled_documents(df).collect()] == [None, None]
+
+
+def test_lists_of_forms_equal_those_of_single_words():
+    words = ["é", "Straße", "памятник", "線路の名前", "“Tolket”…", "naïve", "1\xa0000", "👩‍🌾", "œuvre", "ŻÓŁĆ", "é\x85é", "plain"]
+    got = {(words[i], form, chain) for chain, numbers, forms in garbled_lists(words) for i, form in zip(numbers, forms, strict=True)}
+    assert got == {(w, form, chain) for w in words for form, chain in garbled_words(w)}

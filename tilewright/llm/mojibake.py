@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import html
 import re
 import unicodedata
@@ -31,7 +32,9 @@ ENTITY = re.compile(r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][0-9A-Za-z]{
 ESCAPED = re.compile(rf"(?:[0-9A-Za-z\x80-\U0010ffff]|{ENTITY.pattern})+")
 
 
+CONTROLS = re.compile("[\x80-\x9f]")
 _tables: dict[str, list[str]] = {}
+_maps: dict[str, str] = {}
 _inverse: dict[str, dict[str, int]] = {}
 
 
@@ -148,6 +151,73 @@ def garbled_words(word: str) -> Iterator[tuple[str, str]]:
                 yield _wrongly(once.encode(), last), f"utf-8>{target}>utf-8>{last}"
 
 
+_masks: dict[str, int] = {}
+
+
+def _writable(c: str) -> int:
+    """Which of the encodings can write a character, one bit each."""
+    found = _masks.get(c)
+    if found is None:
+        found = 0
+        for k, encoding in enumerate([*SINGLE_BYTE, *DOUBLE_BYTE]):
+            try:
+                c.encode(encoding)
+                found |= 1 << k
+            except UnicodeEncodeError:
+                pass
+        _masks[c] = found
+    return found
+
+
+def garbled_lists(words: list[str]) -> Iterator[tuple[str, list[int], list[str]]]:
+    """(chain, numbers of words, their forms): ``garbled_words`` of many words, a chain at a time. Words have no line ends, so
+    whole lists pass through the codecs as lines."""
+    every = list(range(len(words)))
+    masks = []
+    for word in words:
+        mask = -1
+        for c in set(word):
+            if c > "\x7f":
+                mask &= _writable(c)
+        masks.append(mask)
+
+    def single(data: bytes, target: str) -> str:
+        return codecs.charmap_decode(data, "strict", _maps.setdefault(target, "".join(_decoding(target))))[0]
+
+    def double(some: list[int], data: bytes, target: str) -> list[str]:
+        lines = data.decode(target, "replace").split("\n")
+        return lines if len(lines) == len(some) else [part.decode(target, "replace") for part in data.split(b"\n")]
+
+    def both(chain: str, some: list[int], text: str) -> Iterator[tuple[str, list[int], list[str]]]:
+        yield chain, some, text.split("\n")
+        kept = CONTROLS.sub("", text)
+        if kept != text:
+            yield chain, some, kept.split("\n")
+
+    for k, source in enumerate([*SINGLE_BYTE, *DOUBLE_BYTE]):
+        some = [i for i in every if masks[i] >> k & 1]
+        if not some:
+            continue
+        data = "\n".join([words[i] for i in some]).encode(source)
+        if source in SINGLE_BYTE:
+            yield f"{source}>utf-8", some, data.decode("utf-8", "replace").split("\n")
+        for target in SINGLE_BYTE:
+            if target != source:
+                yield from both(f"{source}>{target}", some, single(data, target))
+        for target in DOUBLE_BYTE:
+            if target != source:
+                yield f"{source}>{target}", some, double(some, data, target)
+    data = "\n".join(words).encode()
+    for target in DOUBLE_BYTE:
+        yield f"utf-8>{target}", every, double(every, data, target)
+    for target in SINGLE_BYTE:
+        once = single(data, target)
+        yield from both(f"utf-8>{target}", every, once)
+        if target in TWICE:
+            for last in TWICE:
+                yield f"utf-8>{target}>utf-8>{last}", every, single(once.encode(), last).split("\n")
+
+
 def unescaped(text: str) -> str:
     """``text`` with the entities of non-ASCII characters replaced by these; others stay, as do names that mean nothing."""
     if "&" not in text:
@@ -227,29 +297,36 @@ def _character_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield _batch(list(rows), FORM_COLUMNS)
 
 
-def _word_forms(seen) -> Callable:
+def _word_forms(seen, characters: set[str]) -> Callable:
     """Garbled forms of clean words that may occur: the others would find no partner in the join."""
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = seen.value
+
+        def may_occur(form: str) -> list[str]:
+            if not characters.issuperset(form) or form.isascii() or not form.strip(LOST):
+                return []
+            # bytes of a double-byte character may be ASCII and end a token; long parts stand for the whole
+            parts = [form] if TOKEN.fullmatch(form) else [r for r in FOREIGN.findall(form) if len(r) > 3]
+            return [p for p in parts if held.may_have(p)]
+
         for batch in batches:
-            rows: dict[tuple, None] = {}
-            for token, docs, texts in zip(*(batch.column(c).to_pylist() for c in ("token", "docs", "texts"))):
-                if not all(c < "\x80" or _is_mark(c) for c in token):
+            for lo in range(0, batch.num_rows, 512):
+                clean = [r for r in zip(*(batch.column(c).slice(lo, 512).to_pylist() for c in ("token", "docs", "texts"))) if all(c < "\x80" or _is_mark(c) for c in r[0])]
+                if not clean:
                     continue
-                for form, chain in garbled_words(token):
-                    if form == token or form.isascii() or not form.strip(LOST):
-                        continue
-                    # bytes of a double-byte character may be ASCII and end a token; long parts stand for the whole
-                    parts = [form] if TOKEN.fullmatch(form) else [r for r in FOREIGN.findall(form) if len(r) > 3]
-                    for part in parts:
-                        if held.may_have(part):
-                            rows["t", part, token, chain, docs, texts] = None
-                if len(rows) > 50_000:
+                rows: dict[tuple, None] = {}
+                known: dict[str, list[str]] = {}  # many chains give the same form
+                for chain, numbers, lines in garbled_lists([r[0] for r in clean]):
+                    for i, form in zip(numbers, lines):
+                        parts = known.get(form)
+                        if parts is None:
+                            parts = known[form] = may_occur(form)
+                        for part in parts:
+                            if form != clean[i][0]:
+                                rows["t", part, clean[i][0], chain, *clean[i][1:]] = None
+                if rows:
                     yield _batch(list(rows), FORM_COLUMNS)
-                    rows = {}
-            if rows:
-                yield _batch(list(rows), FORM_COLUMNS)
 
     return forms
 
@@ -267,8 +344,11 @@ def _evidence(documents: DataFrame, least_ratio: int) -> DataFrame:
     words = counts.where("kind = 't'")
     distinct = words.count()
     seen = spark.sparkContext.broadcast(Seen.of(words.select(F.xxhash64("token").alias("h")), distinct))
+    # the characters of all tokens; there are no more than Unicode has
+    used = words.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c")).distinct()
+    characters = {r["c"] for r in used.toLocalIterator()} | set(map(chr, range(128)))
     schema = "kind string, form string, original string, chain string, original_docs bigint, original_texts bigint"
-    forms = counts.where("kind = 'c'").mapInArrow(_character_forms, schema).unionByName(words.repartition(task_count(spark, distinct, WORDS_A_TASK), "token").mapInArrow(_word_forms(seen), schema))
+    forms = counts.where("kind = 'c'").mapInArrow(_character_forms, schema).unionByName(words.repartition(task_count(spark, distinct, WORDS_A_TASK), "token").mapInArrow(_word_forms(seen, characters), schema))
     found = counts.where("kind in ('t', 'p', 's')").withColumnRenamed("token", "form")
     utf8 = F.col("chain").startswith("utf-8")
     ratio = F.when((F.col("kind") == "t") & ~utf8, least_ratio).otherwise(1)
@@ -276,8 +356,9 @@ def _evidence(documents: DataFrame, least_ratio: int) -> DataFrame:
     enough = (F.col("original_docs") >= F.col("docs") * ratio) | (F.col("original_texts") >= F.col("texts") * ratio)
     # nor may copies of a garbled text make its forms the originals of the words
     enough = enough & ((F.col("kind") != "t") | (F.col("original_texts") >= F.col("texts")))
-    # a rarer word is still some evidence, if it is in more texts than its form
-    some = (F.col("kind") == "t") & (F.col("original_texts") > F.col("texts"))
+    # a rarer word is still some evidence, if it is in more texts than its form, and the form is more than a letter
+    foreign = F.length(F.regexp_replace("form", r"[\x00-\x7f]", ""))
+    some = (F.col("kind") == "t") & (F.col("original_texts") > F.col("texts")) & ((foreign > 1) | (F.length("form") > 2))
     sure = enough | (F.col("kind") == "s") | (F.col("form") == LOST)
     confirmed = forms.join(found, ["kind", "form"]).where(sure | some).withColumn("sure", sure)
     # of several originals of a form under one chain the surest, the most frequent, then the smallest
