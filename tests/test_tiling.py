@@ -126,7 +126,7 @@ def plain_groups(weights, target, least, step=50):
         n = rest(q)
         if n < low or n <= 0:
             return 0
-        if own.get(q, 0) and (n == own[q] or n <= high or all(rest(c) <= least for c in below.get(q, []))):
+        if (own.get(q, 0) or n == total[q]) and (n == own.get(q, 0) or n <= high or all(rest(c) <= least for c in below.get(q, []))):
             chosen[q] = chosen.get(q, 0) + n
             return 1
         return sum(walk(c, low, high) for c in sorted(below.get(q, [])))

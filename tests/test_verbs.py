@@ -84,7 +84,7 @@ def test_downloaded_change_files(spark, planet, tmp_path):
     for n, id_ in ((1, 8), (2, 7), (3, 6)):
         (tmp_path / f"diffs/{n}.osc").write_text(f'<osmChange><delete><node id="{id_}" version="2"/></delete></osmChange>')
         (tmp_path / f"diffs/{n}.state.txt").write_text(f"sequenceNumber={n}\ntimestamp=2024-01-0{n + 1}T00\\:00\\:00Z\n")
-    assert [len(g) for g in new_changes(at("root"), at("diffs"), merge=True, most_bytes=200)] == [2, 1]
+    assert [len(g) for g in new_changes(at("root"), at("diffs"), merge=True, most_bytes=150)] == [2, 1]
     assert main(["update_downloaded", at("root"), at("diffs"), "merge=1"]) == 0
     assert [(f["State"], f["EndDate"]) for f in file_list(at("root"))][1:] == [(3, read_date("20240104"))]
     assert new_changes(at("root"), at("diffs")) == []

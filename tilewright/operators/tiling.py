@@ -57,8 +57,8 @@ class TileTree:
     def groups(self, target: int, least: int, step: int = 50) -> dict[int, int]:
         """(tile -> total) of greedy groups of about ``target``, each one subtree or what is left at a tile.
 
-        In pre-order, a tile that has rows of its own is taken if what remains at and below it lies in a window around the target, or
-        can't be divided: it is all its own, or what remains below each child is at most ``least``. Passes over the tree repeat until one
+        In pre-order, a tile that has rows of its own, or below which nothing is taken yet, is taken if what remains at and below it lies in a
+        window around the target, or can't be divided: it is all its own, or what remains below each child is at most ``least``. Passes over the tree repeat until one
         takes nothing, then the window widens by ``step`` at both ends (never below ``least``). Once less than the window's
         upper end remains, or only the root's own rows, it is the root's group; so is what no window has taken.
         """
@@ -87,7 +87,7 @@ class TileTree:
             if n < low or n <= 0:
                 continue
             below = self.children[qt]
-            if self.own[qt] and (n == self.own[qt] or n <= high or all(left[c] <= least for c in below)):
+            if (self.own[qt] or n == self.total[qt]) and (n == self.own[qt] or n <= high or all(left[c] <= least for c in below)):
                 taken[qt] = taken.get(qt, 0) + n
                 some = True
                 for level in range((qt & 31) + 1):
