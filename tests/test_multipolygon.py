@@ -1,6 +1,8 @@
+from pyspark.sql import functions as F
+
 from tilewright.functions.style import Style
 from tilewright.operators.geometry import process_geometry, ways_with_nodes
-from tilewright.operators.multipolygon import assemble, build_multipolygons, join_chains
+from tilewright.operators.multipolygon import assemble, build_multipolygons, error_counts, join_chains
 
 PLACES = {1: (0, 0), 2: (4, 0), 3: (4, 4), 4: (2, 6), 5: (0, 4), 6: (1, 1), 7: (2, 1), 8: (2, 2), 9: (1, 2), 11: (50, 50), 12: (51, 50), 13: (51, 51)}
 METRES = {p: (float(p[0]), float(p[1])) for p in PLACES.values()}
@@ -46,6 +48,9 @@ def test_relations_to_polygons(spark):
     assert set(got) == {1, 2}
     assert len(got[1].rings[0]) == 2 and got[1].error is None and [t.key for t in got[1].tags] == ["natural"]
     assert got[2].rings is None and got[2].error == "no outers!!!"
+    made = build_multipolygons(relations, ways_with_nodes(ways, nodes), Style())
+    assert [tuple(r) for r in error_counts(made).collect()] == [("no outers!!!", 1, 2, 2)]
+    assert build_multipolygons(relations, ways_with_nodes(ways, nodes), Style(boundaries=False)).select("id").collect() == [(1,)]
 
 
 def test_all_geometries(spark):
@@ -55,3 +60,9 @@ def test_all_geometries(spark):
     assert {t.key: t.val for t in rows[4, 1].tags} == {"highway": "footway", "min_admin_level": "8", "max_admin_level": "8"}
     assert rows[5, 4].area > 0 and rows[4, 5].length > 0 and rows[4, 5].zorder == 360
     assert process_geometry(*frames(spark), box=(90_000, 90_000, 99_000, 99_000)).count() == 0
+    every = {(r.type, r.id): r.minzoom for r in process_geometry(*frames(spark), zoom=F.when(F.col("type") == 4, 3).otherwise(9).cast("bigint")).collect()}
+    assert every[4, 1] == every[4, 5] == 3 and every[3, 2] == 9 and set(every) == set(rows)
+    assert {(r.type, r.id) for r in process_geometry(*frames(spark), max_zoom=5, zoom=F.when(F.col("type") == 4, 3).cast("bigint")).collect()} == {(4, 1), (4, 5)}
+    # nodes that don't show by themselves still place the ways through them
+    plain = Style(parent_tags=(), relation_tags=(), multipolygons=False, boundaries=False)
+    assert {(r.type, r.id) for r in process_geometry(*frames(spark), style=plain, max_zoom=13).where("type <> 5").collect()} == {(4, 1), (4, 5)}

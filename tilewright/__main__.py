@@ -30,7 +30,8 @@ initial IN ROOT END_DATE                   start a dated dataset of clustered el
 update ROOT END_DATE CHANGE... [most_missing=N]  add a delta
 update_downloaded ROOT FOLDER [merge=1]    add deltas of all newer change files of a folder: one for each, or merged up to 100 MB
 droplast ROOT                              take the newest delta away
-mergechanges ROOT OUT [filter=BOX or .poly file] [as_of=DATE]  one state without its history (Parquet)
+mergechanges ROOT OUT [filter=BOX or .poly file] [as_of=DATE] [sort=1]  one state without its history (Parquet;
+                                           by (type, id), or by tile with sort=0)
 geometry IN OUT [filter=BOX] [zoom=N] [style=JSON] [zooms=CSV] [minlen=0] [minarea=5] [lastdate=DATE]
                                            points, lines and polygons (Parquet, or block files if OUT ends in .pbf)
 IN: a block file (.pbf), or a Parquet folder of elements."""
@@ -114,7 +115,7 @@ def main(words: list[str]) -> int:
     elif verb == "droplast":
         print(snapshot.drop_last(args[0]))
     elif verb == "mergechanges":
-        snapshot.compact(spark, args[0], as_of=read_date(options["as_of"]) if "as_of" in options else None, **area(options.get("filter"))).write.parquet(args[1])
+        snapshot.compact(spark, args[0], as_of=read_date(options["as_of"]) if "as_of" in options else None, sort=options.get("sort", "1") != "0", **area(options.get("filter"))).write.parquet(args[1])
     elif verb == "geometry":
         elements = load(spark, args[0])
         box = area(options.get("filter")).get("box")

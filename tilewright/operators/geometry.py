@@ -118,10 +118,11 @@ def make_geometries(nodes: DataFrame, ways: DataFrame, style: Style, box: tuple[
     )
 
 
-def with_keys_and_zoom(shapes: DataFrame, style: Style, max_zoom: int | None = None, max_depth: int = 18) -> DataFrame:
-    """Shapes with ``minzoom`` and ``quadtree``. With ``max_zoom``, keys are made without buffer and rounded to the zoom, and what only shows deeper
+def with_keys_and_zoom(shapes: DataFrame, style: Style, max_zoom: int | None = None, max_depth: int = 18, *, zoom: Column | None = None) -> DataFrame:
+    """Shapes with ``minzoom`` and ``quadtree``. ``zoom`` (over the columns of shapes) takes the place of the zoom that the style's table gives. With ``max_zoom``, keys are made without buffer and rounded to the zoom, and what only shows deeper
     (or never) goes."""
     tag = F.when(F.col("type") == POINT, T.tag_zoom(F.col("tags"), [0], style.min_zoom)).when(F.col("type") == LINE, T.tag_zoom(F.col("tags"), [1, 2], style.min_zoom)).otherwise(T.tag_zoom(F.col("tags"), [1, 2], style.min_zoom))
+    tag = tag if zoom is None else zoom
     size = F.when(F.col("type") == LINE, length_zoom(F.col("length"), style.min_length)).when(F.col("type").isin(POLYGON, MULTIPOLYGON), area_zoom(F.col("area"), style.min_area)).otherwise(F.lit(0).cast("bigint"))
     outline = F.when(F.col("type") == MULTIPOLYGON, F.flatten(F.flatten("rings"))).otherwise(F.col("lonlats"))
     boxed = shapes.withColumn("_b", box_of(outline))
@@ -132,14 +133,16 @@ def with_keys_and_zoom(shapes: DataFrame, style: Style, max_zoom: int | None = N
     return zoomed.where(F.col("minzoom") <= max_zoom).withColumn("quadtree", tile_round("quadtree", F.col("minzoom")))
 
 
-def process_geometry(nodes: DataFrame, ways: DataFrame, relations: DataFrame, style: Style | None = None, box: tuple[int, int, int, int] | None = None, max_zoom: int | None = None) -> DataFrame:
-    """All geometries of elements: tags of parents and relations are added first, so that they count in what follows."""
+def process_geometry(nodes: DataFrame, ways: DataFrame, relations: DataFrame, style: Style | None = None, box: tuple[int, int, int, int] | None = None, max_zoom: int | None = None, *, zoom: Column | None = None) -> DataFrame:
+    """All geometries of elements: tags of parents and relations are added first, so that they count in what follows.
+
+    ``zoom`` as in ``with_keys_and_zoom``."""
     style = style or Style()
     tagged = nodes.where("size(tags) > 0")
     if style.parent_tags:
         tagged = _with_extra(tagged, parent_tags(tagged, ways, style.parent_tags))
     wanted = ways
-    if max_zoom is not None:
+    if max_zoom is not None and zoom is None:
         # what its tags alone keep from showing needs no geometry; tags of relations may still let a way show, and rings need all ways
         tagged = tagged.where(T.shows_by(F.col("tags"), [0], style.min_zoom, max_zoom))
         if not (style.relation_tags or style.multipolygons or style.boundaries):
@@ -151,7 +154,7 @@ def process_geometry(nodes: DataFrame, ways: DataFrame, relations: DataFrame, st
     if style.multipolygons or style.boundaries:
         made = build_multipolygons(relations, placed, style, box).where("rings is not null")
         shapes = shapes.unionByName(made.select(F.lit(MULTIPOLYGON).alias("type"), "id", "tags", "layer", F.lit(None).cast("array<struct<lon:bigint,lat:bigint>>").alias("lonlats"), "rings", T.z_order(F.col("tags")).alias("zorder"), F.lit(None).cast("double").alias("length"), "area", F.lit(None).cast("boolean").alias("reversed")))
-    return with_keys_and_zoom(shapes, style, max_zoom)
+    return with_keys_and_zoom(shapes, style, max_zoom, zoom=zoom)
 
 
 def as_geojson(shapes: DataFrame) -> DataFrame:

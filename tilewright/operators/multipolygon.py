@@ -147,3 +147,8 @@ def build_multipolygons(relations: DataFrame, ways: DataFrame, style: Style, box
     keep = T.filter_tags(F.col("tags"), list(style.feature_keys), None if style.other_keys is None else list(style.other_keys), list(style.drop_keys))
     tagged = wanted.select("id", T.layer(F.col("tags")).alias("layer"), (T.remove_tag(keep, "type") if style.drop_keys else keep).alias("tags"))
     return tagged.join(built, "id")
+
+
+def error_counts(made: DataFrame) -> DataFrame:
+    """(error, n, least_id, greatest_id): how many relations of ``build_multipolygons`` have each error, and between which ids."""
+    return made.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"), F.max("id").alias("greatest_id"))
